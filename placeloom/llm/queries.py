@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from placeloom.runtime import table
 
 
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    from placeloom.llm.lookalike import consistent_names, place_names
+
+    return consistent_names(place_names(table(spark, d, "geonames"), table(spark, d, "alternate_names")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from placeloom.llm.lookalike import same_looking
+
+    return same_looking(_named(spark, d))
+
+
+def p1_names(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from placeloom.llm.strata import quota_report
 
@@ -70,7 +86,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p4_found, p5_found, p5_splits, p7_ids, p8_found, p8_mixture, p8_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_report, p2_sample, p4_found, p5_found, p5_splits, p7_ids, p8_found, p8_mixture, p8_report)}
 
 _STRATA = """
 WITH size AS (SELECT count(DISTINCT request_id) // 5 AS size FROM query_plan),

@@ -44,6 +44,18 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return sample_to_targets(table(spark, d, "query_plan"), table(spark, d, "plan_targets"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from placeloom.llm.overlap import cross_split_pairs
+
+    return cross_split_pairs(table(spark, d, "query_dataset")).select(F.least("eval_id", "train_id").alias("request_id_a"), F.greatest("eval_id", "train_id").alias("request_id_b"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    from placeloom.llm.overlap import overlap_report
+
+    return overlap_report(table(spark, d, "query_dataset"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from placeloom.llm.topn import top_items
 
@@ -86,7 +98,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_report, p2_sample, p4_found, p5_found, p5_splits, p7_ids, p8_found, p8_mixture, p8_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_report, p2_sample, p3_found, p3_report, p4_found, p5_found, p5_splits, p7_ids, p8_found, p8_mixture, p8_report)}
 
 _STRATA = """
 WITH size AS (SELECT count(DISTINCT request_id) // 5 AS size FROM query_plan),

@@ -18,6 +18,7 @@ def local_session(app: str = "placeloom", cores: str | int = "*", shuffle: int =
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PLACELOOM_DRIVER_MEMORY", "6g"))
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()

@@ -98,7 +98,19 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_report, p2_sample, p3_found, p3_report, p4_found, p5_found, p5_splits, p7_ids, p8_found, p8_mixture, p8_report)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from placeloom.llm.personal import findings
+
+    return findings(table(spark, d, "documents"), table(spark, d, "person_names"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from placeloom.llm.personal import personal_information
+
+    return personal_information(table(spark, d, "documents"), table(spark, d, "person_names")).select("doc_id", "redacted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_report, p2_sample, p3_found, p3_report, p4_found, p5_found, p5_splits, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_redacted)}
 
 _STRATA = """
 WITH size AS (SELECT count(DISTINCT request_id) // 5 AS size FROM query_plan),

@@ -37,8 +37,8 @@ def quota_report(plan: DataFrame, targets: DataFrame, key: str = "request_id", s
     strata = list(strata)
     members = stratum_requests(plan, key, strata, lowered)
     observed = members.groupBy(*strata).agg(F.count(F.lit(1)).alias("observed"))
-    size = plan.select(key).distinct().agg(F.floor(F.count(key) / one_in).alias("size"))
-    wanted = targets.crossJoin(F.broadcast(size))  # one row: the size
+    size = plan.select(key).distinct().agg(F.count(key)).first()[0] // one_in
+    wanted = targets.withColumn("size", F.lit(size).cast("bigint"))
     quota = F.greatest(F.col("min_rows").cast("bigint"), F.floor(F.col("target_share") * F.col("size")))
     keyed = wanted.select(*[F.col(c).alias(f"t_{c}") for c in strata], *[_category(c, c == lowered).alias(c) for c in strata], "target_share", "min_rows", "size", quota.alias("quota"))
     full = keyed.join(observed, strata, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))

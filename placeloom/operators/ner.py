@@ -17,10 +17,12 @@ LABELS = ["CITY", "REGION", "STATE", "COUNTRY"]
 
 def build_examples(df: DataFrame) -> DataFrame:
     """Rows whose spans all are whole tokens, with tokenized_text and ner (first, last, label)."""
-    full = df.withColumn("entities", spans_of(F.col("entities"))).filter(F.size("entities") > 0).withColumn("__tok", tokens_at("query"))
+    full = df.withColumn("entities", spans_of(F.col("entities"))).filter(F.size("entities") > 0)
+    # a generator between the tokens and their uses, else the optimiser would copy their expression into each use
+    full = full.select("*", F.inline(F.array(F.struct(tokens_at("query").alias("__tok")))))
     verbatim = F.forall("entities", lambda e: F.substring(F.col("query"), e["start"].cast("int") + 1, (e["end"] - e["start"]).cast("int")) == e["text"])
     ner = F.transform("entities", lambda e: named(at=align_span(F.col("__tok"), e["start"], e["end"]), label=e["label"]))
-    kept = full.withColumn("__ner", ner).filter(F.coalesce(verbatim, F.lit(False)) & F.forall("__ner", lambda s: s["at"].isNotNull()))
+    kept = full.select("*", F.inline(F.array(F.struct(ner.alias("__ner"))))).filter(F.coalesce(verbatim, F.lit(False)) & F.forall("__ner", lambda s: s["at"].isNotNull()))
     flat = F.transform("__ner", lambda s: named(first=s["at"]["first"], last=s["at"]["last"], label=s["label"]))
     return kept.select("request_id", F.col("query").alias("text"), "language", "name", "sample_source", F.transform("__tok", lambda t: t["token"]).alias("tokenized_text"), flat.alias("ner"), "entities")
 
@@ -49,7 +51,7 @@ def gazetteer_spans(texts: DataFrame, names: DataFrame, key: str = "request_id",
 
     names: name (lower case), label. Word sequences of up to ``longest`` tokens are joined to the names.
     """
-    toks = texts.select(key, F.col(text).alias("t"), tokens_at(text).alias("tok"))
+    toks = texts.select(key, F.col(text).alias("t"), F.inline(F.array(F.struct(tokens_at(text).alias("tok")))))
     grams = toks.select(key, "t", "tok", F.explode(F.sequence(F.lit(0), F.size("tok") - 1)).alias("i")).filter("size(tok) > 0").select(key, "t", "tok", "i", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).filter(F.col("i") + F.col("n") <= F.size("tok"))
     start, end = F.get("tok", F.col("i"))["start"], F.get("tok", F.col("i") + F.col("n") - 1)["end"]
     found = grams.select(key, start.alias("start"), end.alias("end"), F.lower(F.substring(F.col("t"), start + 1, end - start)).alias("name")).join(names.select("name", "label").distinct(), "name")

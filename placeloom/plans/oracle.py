@@ -33,9 +33,9 @@ CTE = {
     "texts": "SELECT DISTINCT array_to_string(list_transform(entities, lambda e: e.text), ' ') AS q FROM requests",
     "docs": f"SELECT name AS doc, g, len(g) AS dl FROM (SELECT name, {_grams('name')} AS g FROM names)",
     "postings": "SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, dl, unnest(g) AS term FROM docs) GROUP BY 1, 2, 3",
-    "asked": f"SELECT q, unnest(g) AS term, unnest(range(len(g))) AS pos FROM (SELECT q, {_grams('q')} AS g FROM texts)",
-    "scores": """SELECT q, doc, list_sum(list(c ORDER BY pos)) AS score FROM (
-        SELECT a.q, a.pos, p.doc, p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / (SELECT avg(dl) FROM docs))) AS c FROM asked a JOIN postings p USING (term)) GROUP BY 1, 2""",
+    "asked": f"SELECT q, unnest(g) AS term FROM (SELECT q, {_grams('q')} AS g FROM texts)",
+    "scores": """SELECT q, doc, CAST(sum(c) AS BIGINT) / 1e12::DOUBLE AS score FROM (
+        SELECT a.q, p.doc, CAST(floor(p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / (SELECT avg(dl) FROM docs))) * 1e12::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS c FROM asked a JOIN postings p USING (term)) GROUP BY 1, 2""",
     "found": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM scores) WHERE rank <= 10",
     "filled": """SELECT q, doc, score FROM found UNION ALL SELECT t.q, n.name, 0.0 FROM texts t CROSS JOIN (SELECT name FROM names ORDER BY name LIMIT 20) n
       WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.q = t.q AND f.doc = n.name)""",

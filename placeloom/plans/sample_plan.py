@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions.text import strip
 from placeloom.operators.names import with_region
+from placeloom.runtime import cut
 
 BANDS = ("top", "mid", "low")
 
@@ -181,8 +182,10 @@ def build_sample_plan(rows: DataFrame, admin1: DataFrame, countries: DataFrame,
     follow each other, as names taken by the first are excluded from the second.
     """
     quotas = quotas or QUOTAS
-    groups = place_groups(rows, admin1)
-    pools, gold, by_country = name_pools(groups), name_gold(rows), country_targets(groups)
+    # read by every kind of request
+    rows = cut(rows)
+    groups = cut(place_groups(rows, admin1))
+    pools, gold, by_country = cut(name_pools(groups)), name_gold(rows), country_targets(groups)
     # countries times languages rows
     titles = countries.select(F.col("language").alias("isolanguage"), "country_code", "country_name")
     taken: dict[str, DataFrame] = {}
@@ -205,6 +208,7 @@ def build_sample_plan(rows: DataFrame, admin1: DataFrame, countries: DataFrame,
         if kind.by_country:
             # a name in two countries' groups of one source belongs to the first country
             picked = picked.withColumn("__c", F.row_number().over(W.partitionBy("name", "isolanguage").orderBy("country_code"))).filter("__c = 1").drop("__c")
+        picked = cut(picked)  # quota times groups rows
         mine = picked.select("name", "isolanguage")
         taken[kind.source] = taken[kind.source].unionByName(mine) if kind.source in taken else mine
         none = F.lit("")

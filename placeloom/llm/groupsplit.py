@@ -51,10 +51,10 @@ def related_groups(df: DataFrame, key: str = "request_id", query: str = "query",
     roots = components(edges.unionByName(own).unionByName(via_hub), "hub", "n")
     # the hub of a record: its least name, else its query's hub, else itself
     with_name = rec.filter("size(names) > 0").select("id", F.concat(F.lit("n:"), F.get("names", F.lit(0))).alias("hub"))
-    without = rec.filter("size(names) = 0").select("id", F.coalesce(F.concat(F.lit("q:"), "q"), F.concat(F.lit("i:"), F.col("id").cast("string"))).alias("via"))
+    without = rec.filter("size(names) = 0").select("id", F.concat(F.lit("q:"), "q").alias("via"))
     without = without.join(hubs, "via", "left").select("id", F.coalesce("hub", "via").alias("hub"))
     placed = with_name.unionByName(without).join(roots, F.col("hub") == F.col("node"), "left").select("id", F.coalesce("root", "hub").alias("root"))
-    placed = cut(placed.groupBy("id").agg(F.min("root").alias("root")))
+    placed = cut(placed.groupBy("id").agg(F.coalesce(F.min("root"), F.concat(F.lit("i:"), F.col("id").cast("string"))).alias("root")))
     least = placed.groupBy("root").agg(F.min("id").alias("group_id"))
     return placed.join(least, "root").select("id", "group_id")
 

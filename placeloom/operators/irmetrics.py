@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CUTS = (5, 10, 25, 50)
+#: Equal ranges that a group's values are counted in.
+RANGES = 4096
 
 
 def per_query(qrels: DataFrame, run: DataFrame) -> DataFrame:
@@ -55,17 +57,28 @@ def empty_accuracy(queries: DataFrame, run: DataFrame) -> DataFrame:
 def latency_percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Exclusive percentiles, as a sample of n values cut into hundredths at (n + 1) * p.
 
-    Values are counted per distinct value first, so a group's values need not fit one task.
+    Values are counted per distinct value, these by equal ranges between a group's least and most; ranks are summed over
+    ranges first and then inside a range, so a group's values need not fit one task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(*by).orderBy("v")
-    line = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(W.partitionBy(*by)))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ends = counts.groupBy(*by).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("c").alias("n"))
+    ends = ends.select(*[F.col(c).alias(f"__{c}") for c in by], "least", "most", "n")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    part = F.when(F.col("most") > F.col("least"), F.floor((F.col("v") - F.col("least")) / (F.col("most") - F.col("least")) * RANGES)).otherwise(F.lit(0))
+    placed = counts.join(ends, same).withColumn("r", part)
+    ranges = placed.groupBy(*by, "r").agg(F.sum("c").alias("s"))
+    before = ranges.select(*[F.col(c).alias(f"_b{c}") for c in by], F.col("r").alias("_r"), (F.sum("s").over(W.partitionBy(*by).orderBy("r")) - F.col("s")).alias("before"))
+    on = F.col("r") == F.col("_r")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_b{c}"))
+    line = placed.withColumn("inside", F.sum("c").over(W.partitionBy(*by, "r").orderBy("v"))).join(before, on).withColumn("upto", F.col("before") + F.col("inside"))
     out = []
     for p in (50, 90, 95, 99):
         at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), (F.col("n") + 1) * p / 100.0))
         lo = F.floor(at)
         below = F.min(F.when(F.col("upto") >= lo, F.col("v")))
         above = F.min(F.when(F.col("upto") >= F.least(lo + 1, F.col("n")), F.col("v")))
-        part = F.max(at - lo)
-        out.append(F.round(below + (above - below) * part, 6).alias(f"p{p}"))
+        out.append(F.round(below + (above - below) * F.max(at - lo), 6).alias(f"p{p}"))
     return line.groupBy(*by).agg(F.max("n").alias("n"), *out, F.min("v").alias("least"), F.max("v").alias("most"))

@@ -29,10 +29,14 @@ def name_rows(places: DataFrame, alternates: DataFrame, languages: list[str] = S
     return own.unionByName(other).filter("name is not null").distinct()
 
 
+def name_places(rows: DataFrame) -> DataFrame:
+    """Distinct (name, geonameid, population): the places of each spelling, a row each; null population is 0."""
+    return rows.select("name", "geonameid", F.coalesce("population", F.lit(0)).alias("population")).distinct()
+
+
 def name_groups(rows: DataFrame) -> DataFrame:
     """One document per spelling: name and its places (geonameid, population), sorted by id; null population is 0."""
-    few = rows.select("name", "geonameid", F.coalesce("population", F.lit(0)).alias("population")).distinct()
-    return few.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("geonameid", "population"))).alias("places"))
+    return name_places(rows).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("geonameid", "population"))).alias("places"))
 
 
 def places_projection(places: DataFrame) -> DataFrame:

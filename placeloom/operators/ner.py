@@ -35,14 +35,16 @@ def token_mismatches(examples: DataFrame) -> DataFrame:
 def split_by_name(examples: DataFrame, share: float = 0.1, seed: str = "42") -> DataFrame:
     """Adds split: every row of a name on one side, each language near its share.
 
-    A name belongs to its first language. Names stand in drawn order and go to validation while the rows before them leave
-    room. The running sum is taken over a language's names, one row each.
+    A name belongs to its first language. Names stand in the order of a hash and go to validation while the rows before
+    them leave room. The running sum is taken over ranges of the hash first and then inside a range, so a language's names
+    need not fit one task.
     """
-    names = examples.groupBy("name").agg(F.min("language").alias("language"), F.count(F.lit(1)).alias("n")).withColumn("d", F.md5(F.concat_ws("|", F.lit(seed), "language", "name")))
-    w = W.partitionBy("language").orderBy("d", "name")
-    upto = F.sum("n").over(w)
-    total = F.sum("n").over(W.partitionBy("language"))
-    chosen = names.select("name", F.when(upto <= F.lit(share) * total, "validation").otherwise("train").alias("__side"))
+    names = examples.groupBy("name").agg(F.min("language").alias("language"), F.count(F.lit(1)).alias("n")).withColumn("d", F.md5(F.concat_ws("|", F.lit(seed), "language", "name"))).withColumn("r", F.substring("d", 1, 3))
+    ranges = names.groupBy("language", "r").agg(F.sum("n").alias("s"))
+    before = ranges.select(F.col("language").alias("__l"), F.col("r").alias("__r"), (F.sum("s").over(W.partitionBy("language").orderBy("r")) - F.col("s")).alias("before"), F.sum("s").over(W.partitionBy("language")).alias("total"))
+    inside = F.sum("n").over(W.partitionBy("language", "r").orderBy("d", "name"))
+    line = names.withColumn("inside", inside).join(before, F.col("language").eqNullSafe(F.col("__l")) & (F.col("r") == F.col("__r")))
+    chosen = line.select("name", F.when(F.col("before") + F.col("inside") <= F.lit(share) * F.col("total"), "validation").otherwise("train").alias("__side"))
     return examples.drop("split").join(chosen.withColumnRenamed("name", "__name"), F.col("name").eqNullSafe(F.col("__name")), "left").drop("__name").withColumnRenamed("__side", "split")
 
 

@@ -16,10 +16,17 @@ from placeloom.functions.text import strip
 from placeloom.operators import bm25
 
 
-def expand(ranked: DataFrame, groups: DataFrame, key: str = "q") -> DataFrame:
-    """(key, geonameid, score): every place of every ranked name with the best of its names' scores."""
-    hit = ranked.select(key, F.col("doc").alias("name"), "score").join(groups, "name").select(key, F.explode("places").alias("p"), "score")
-    return hit.groupBy(key, F.col("p.geonameid").alias("geonameid")).agg(F.max("score").alias("score"))
+#: Results that a query may ask for.
+MOST_RESULTS = 100
+
+
+def expand(ranked: DataFrame, named: DataFrame, key: str = "q") -> DataFrame:
+    """(key, geonameid, score): every place of every ranked name with the best of its names' scores.
+
+    ``named`` has a row for each name and place, so a name of very many places is no single value.
+    """
+    hit = ranked.select(key, F.col("doc").alias("name"), "score").join(named.select("name", "geonameid"), "name")
+    return hit.groupBy(key, "geonameid").agg(F.max("score").alias("score"))
 
 
 def hydrate(ids: DataFrame, places: DataFrame) -> DataFrame:
@@ -33,16 +40,16 @@ def cut(candidates: DataFrame, places: DataFrame, k: int, key: str = "q") -> Dat
     return full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search_batch(queries: DataFrame, groups: DataFrame, places: DataFrame, k: int = 50, key: str = "q", rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def search_batch(queries: DataFrame, named: DataFrame, places: DataFrame, k: int = 50, key: str = "q", rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, rank, geonameid, score, hydrated columns) for a table of query texts.
 
     ``rerank`` maps the result to one with a column ``rerank_score``; it changes the order of a query's places, never the set.
     """
-    if not 1 <= k <= 100:
-        raise ValueError("k must be from 1 to 100")
+    if not 1 <= k <= MOST_RESULTS:
+        raise ValueError(f"k must be from 1 to {MOST_RESULTS}")
     asked = queries.select(key).filter(strip(key) != "").distinct()
-    ranked = bm25.top_names(asked, groups.select("name"), k, key)
-    out = cut(expand(ranked, groups, key), places, k, key)
+    ranked = bm25.top_names(asked, named.select("name"), k, key)
+    out = cut(expand(ranked, named, key), places, k, key)
     if rerank is None:
         return out
     scored = rerank(out)

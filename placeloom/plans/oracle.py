@@ -40,8 +40,8 @@ CTE = {
     "filled": """SELECT q, doc, score FROM found UNION ALL SELECT t.q, n.name, 0.0 FROM texts t CROSS JOIN (SELECT name FROM names ORDER BY name LIMIT 20) n
       WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.q = t.q AND f.doc = n.name)""",
     "top": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM filled) WHERE rank <= 10",
-    "run": """SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, population DESC, geonameid) AS rank FROM (
-      SELECT request_id, geonameid, max(retriever_score) AS score, max(coalesce(population, 0)) AS population FROM geoname_matches WHERE retriever_score IS NOT NULL AND NOT isnan(retriever_score) GROUP BY 1, 2)""",
+    "run": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, population DESC, geonameid) AS rank FROM (
+      SELECT request_id, geonameid, max(retriever_score) AS score, max(coalesce(population, 0)) AS population FROM geoname_matches WHERE retriever_score IS NOT NULL AND NOT isnan(retriever_score) GROUP BY 1, 2)) WHERE rank <= 100""",
     "gold": "SELECT request_id, language, e.start AS s, e.end AS e2, e.label AS label, confidence FROM (SELECT request_id, language, confidence, unnest(entities) AS e FROM requests)",
     "guess": """SELECT request_id, language, strpos(lower(query), part) - 1 AS s, strpos(lower(query), part) - 1 + length(part) AS e2, 'CITY' AS label, coalesce(confidence, 0.0) AS score FROM (
         SELECT DISTINCT request_id, language, query, confidence, trim(p) AS part FROM (SELECT request_id, language, query, confidence, unnest(string_split(lower(name), ',')) AS p FROM requests))

@@ -61,11 +61,11 @@ def search_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_of_matches(spark: SparkSession, d: str) -> DataFrame:
-    """geoname_matches as a run: the best row of each place, ranked in its request."""
+    """geoname_matches as a run: the best row of each place, ranked in its request as far as a search may return (k is 100 at most)."""
     m = table(spark, d, "geoname_matches").filter("retriever_score is not null and not isnan(retriever_score)")
     best = m.groupBy("request_id", "geonameid").agg(F.max("retriever_score").alias("score"), F.max(F.coalesce("population", F.lit(0))).alias("population"))
     w = P.W.partitionBy("request_id").orderBy(F.desc("score"), F.desc("population"), F.asc("geonameid"))
-    return best.withColumn("rank", F.row_number().over(w))
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= search.MOST_RESULTS)
 
 
 def gold_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -242,7 +242,7 @@ def bm25_top_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_topk(spark: SparkSession, d: str) -> DataFrame:
-    out = search.search_batch(search_texts(spark, d), names.name_groups(rows(spark, d)), names.places_projection(scope(spark, d)), TOP_K)
+    out = search.search_batch(search_texts(spark, d), names.name_places(rows(spark, d)), names.places_projection(scope(spark, d)), TOP_K)
     return out.select("q", F.col("rank").cast("bigint").alias("rank"), "geonameid", "asciiname", "country_code", "population", F.round("score", 6).alias("score"))
 
 
@@ -281,7 +281,7 @@ def pool_homonym(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    order = [F.col("pop_in_country").desc_nulls_last(), F.asc("name")]
+    order = [("pop_in_country", True), ("name", False)]
     return P.bands(P.name_pools(groups(spark, d)), ["isolanguage", "country_code"], order, (2, 2, 2), "42", ["name", "isolanguage", "country_code"]).select("name", "isolanguage", "country_code", "strat_band")
 
 

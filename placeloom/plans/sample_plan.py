@@ -55,6 +55,8 @@ QUOTAS = {
 STYLES = {"search": 0.60, "casual": 0.25, "formal": 0.12, "rich": 0.03}
 TOPICS = ["flights", "hotels", "weather", "transport", "food", "tourism", "history", "population", "relocation", "news", "education"]
 TARGETS_PER_NAME, EXTRA_MIN, EXTRA_MAX = 2, 1, 2
+#: Names of a group that its multi-city requests choose from.
+EXTRA_POOL = 32
 
 
 def draw(*parts: Column | str) -> Column:
@@ -99,20 +101,29 @@ def in_pool(kind: Kind) -> Column:
     return F.col("n_admin1_in_country" if kind.target == "admin1" and kind.by_country else "n_countries") > 1
 
 
-def bands(df: DataFrame, group: list[str], order: list[Column], quota: tuple[int, int, int], seed: str, key: list[str]) -> DataFrame:
+def _sorted(order: list[tuple[str, bool]], flipped: bool = False) -> list[Column]:
+    """Sort columns of (name, descending) pairs, nulls last, or the exact reverse."""
+    if flipped:
+        return [F.col(c).asc_nulls_first() if desc else F.col(c).desc_nulls_first() for c, desc in order]
+    return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
+
+
+def bands(df: DataFrame, group: list[str], order: list[tuple[str, bool]], quota: tuple[int, int, int], seed: str, key: list[str]) -> DataFrame:
     """Adds strat_band to the picked rows: the first, the last, and a drawn few between; a row is picked once.
 
-    The first and last of a group are found by two bounded windows, which Spark prunes on both sides of the exchange.
+    Each band is a rank with a filter, which Spark prunes before the exchange, so no group is sorted whole in one task.
+    ``key`` identifies a row and ``order`` ends in it.
     """
     top, mid, low = quota
-    n = F.count(F.lit(1)).over(W.partitionBy(*group))
-    rn = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    ranked = df.withColumn("__n", n).withColumn("__rn", rn)
-    inner = (F.col("__rn") > top) & (F.col("__rn") <= F.col("__n") - low)
-    between = ranked.withColumn("__d", F.when(inner, draw(seed, *[F.col(c) for c in key])))
-    drawn = F.row_number().over(W.partitionBy(*group, inner).orderBy("__d", *key))
-    band = F.when(F.col("__rn") <= top, BANDS[0]).when(inner & (F.col("__k") <= mid), BANDS[1]).when((F.col("__rn") > F.col("__n") - low), BANDS[2])
-    return between.withColumn("__k", drawn).withColumn("strat_band", band).filter("strat_band is not null").drop("__n", "__rn", "__d", "__k")
+    first = df.withColumn("__rn", F.row_number().over(W.partitionBy(*group).orderBy(*_sorted(order)))).filter(F.col("__rn") <= top)
+    last = df.withColumn("__rn", F.row_number().over(W.partitionBy(*group).orderBy(*_sorted(order, True)))).filter(F.col("__rn") <= low)
+    last = last.join(first.select(*key), key, "left_anti")
+    ends = first.drop("__rn").withColumn("strat_band", F.lit(BANDS[0])).unionByName(last.drop("__rn").withColumn("strat_band", F.lit(BANDS[2])))
+    if not mid:
+        return ends
+    inner = df.join(ends.select(*key), key, "left_anti").withColumn("__d", draw(seed, *[F.col(c) for c in key]))
+    drawn = inner.withColumn("__rn", F.row_number().over(W.partitionBy(*group).orderBy("__d", *key))).filter(F.col("__rn") <= mid).drop("__rn", "__d")
+    return ends.unionByName(drawn.select(*df.columns).withColumn("strat_band", F.lit(BANDS[1])).select(*ends.columns))
 
 
 def expand_targets(picked: DataFrame, targets: DataFrame, kind: Kind, per_name: int = TARGETS_PER_NAME) -> DataFrame:
@@ -131,26 +142,21 @@ def expand_targets(picked: DataFrame, targets: DataFrame, kind: Kind, per_name:
 
 
 def multi_city(picked: DataFrame, pool: DataFrame, gold: DataFrame, seed: str) -> DataFrame:
-    """Each anchor with one or two more names of its group that are no anchors, chosen in drawn order around the anchor's own draw.
+    """Each anchor with one or two more names of its group that are no anchors.
 
-    Names and anchors are put in one drawn order per group and each anchor takes the next names behind it, so no anchor
-    meets all names of its group.
+    The first ``EXTRA_POOL`` names of a group in drawn order are its candidates; each anchor takes of them by its own draw.
     """
     group = ["isolanguage", "country_code"]
-    anchors = picked.select("name", *group, "strat_band").withColumn("anchor", F.lit(True))
-    others = pool.select("name", *group).distinct().join(anchors.select("name", *group), ["name", *group], "left_anti").withColumn("strat_band", F.lit(None).cast("string")).withColumn("anchor", F.lit(False))
-    line = anchors.unionByName(others).withColumn("d", draw(seed, F.col("name"), F.col("isolanguage"), F.col("country_code")))
-    # the circle is closed by wrapping the first names of a group behind its last
-    w = W.partitionBy(*group).orderBy("d", "name")
-    names = F.when(~F.col("anchor"), F.col("name"))
-    ahead = line.withColumn("next", F.collect_list(names).over(w.rowsBetween(1, 8)))
-    first = line.filter(~F.col("anchor")).withColumn("r", F.row_number().over(w)).filter("r <= 8").groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda s: s["name"]).alias("first"))
-    full = ahead.filter("anchor").join(first, group).withColumn("want", (F.lit(EXTRA_MIN) + F.floor(draw(seed, "n", F.col("name")) * (EXTRA_MAX - EXTRA_MIN + 1))).cast("int"))
-    chosen = full.withColumn("extra", F.slice(F.array_distinct(F.concat("next", "first")), 1, F.col("want"))).filter(F.size("extra") >= EXTRA_MIN)
-    listed = chosen.select("name", *group, "strat_band", F.posexplode(F.concat(F.array("name"), "extra")).alias("pos", "city"))
+    anchors = picked.select("name", *group, "strat_band")
+    others = pool.select("name", *group).distinct().join(anchors.select("name", *group), ["name", *group], "left_anti").withColumn("__d", draw(seed, F.col("name"), F.col("isolanguage"), F.col("country_code")))
+    few = others.withColumn("__rn", F.row_number().over(W.partitionBy(*group).orderBy("__d", "name"))).filter(F.col("__rn") <= EXTRA_POOL).select(*group, F.col("name").alias("city"))
+    want = (F.lit(EXTRA_MIN) + F.floor(draw(seed, "n", F.col("name")) * (EXTRA_MAX - EXTRA_MIN + 1))).cast("int")
+    own = W.partitionBy("name", *group).orderBy(draw(seed, "own", F.col("name"), F.col("city")), "city")
+    extra = anchors.join(few, group).withColumn("pos", F.row_number().over(own)).filter(F.col("pos") <= want)
+    listed = extra.select("name", *group, "strat_band", "pos", "city").unionByName(extra.select("name", *group, "strat_band").distinct().select("*", F.lit(0).alias("pos"), F.col("name").alias("city")))
     with_gold = listed.join(gold.select(F.col("name").alias("city"), "isolanguage", "geonameid"), ["city", "isolanguage"])
     out = with_gold.groupBy(F.col("name").alias("anchor"), *group, "strat_band").agg(F.array_sort(F.collect_list(F.struct("pos", "city"))).alias("cities"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("geonameid")))).alias("geonameid"))
-    return out.select(F.array_join(F.transform("cities", lambda c: c["city"]), ", ").alias("name"), *group, "strat_band", "geonameid")
+    return out.filter(F.size("cities") > EXTRA_MIN).select(F.array_join(F.transform("cities", lambda c: c["city"]), ", ").alias("name"), *group, "strat_band", "geonameid")
 
 
 def style_topic(plan: DataFrame, seed: str = "42", key: str = "request_id") -> DataFrame:
@@ -203,7 +209,7 @@ def build_sample_plan(rows: DataFrame, admin1: DataFrame, countries: DataFrame,
             pool = pool.withColumn("__c", F.row_number().over(W.partitionBy("name", "isolanguage").orderBy("country_code"))).filter("__c = 1").drop("__c")
         if kind.source in taken:
             pool = pool.join(taken[kind.source], ["name", "isolanguage"], "left_anti")
-        order = [F.col(rank).desc_nulls_last(), F.asc("name"), F.asc("country_code")]
+        order = [(rank, True), ("name", False), ("country_code", False)]
         picked = bands(pool, group, order, quota, f"{seed}|{kind.source}:{kind.pool}", ["name", "isolanguage", "country_code"])
         if kind.by_country:
             # a name in two countries' groups of one source belongs to the first country

@@ -58,18 +58,18 @@ PLACES = "geonameid bigint, asciiname string, country_code string, population bi
 
 
 def test_search_batch(spark):
-    groups = spark.createDataFrame([("Moscow", [(1, 10), (2, 10), (3, None)]), ("Moskva", [(1, 10)]), ("Kazan", [(4, 5)])], "name string, places array<struct<geonameid:bigint,population:bigint>>")
+    named = spark.createDataFrame([("Moscow", 1, 10), ("Moscow", 2, 10), ("Moscow", 3, None), ("Moskva", 1, 10), ("Kazan", 4, 5)], "name string, geonameid bigint, population bigint")
     places = spark.createDataFrame([(1, "M", "RU", 10, None, None, None), (2, "M", "US", 10, None, None, None), (4, "K", "RU", None, None, None, None)], PLACES)
     q = spark.createDataFrame([("moscow",), ("  ",), (None,), ("zzz",)], "q string")
     got = {}
-    for r in search.search_batch(q, groups, places, 3).collect():
+    for r in search.search_batch(q, named, places, 3).collect():
         got.setdefault(r["q"], []).append((r["rank"], r["geonameid"]))
     assert set(got) == {"moscow", "zzz"}  # a blank query has none, an unknown one takes names at score 0
     assert sorted(got["moscow"])[:2] == [(1, 1), (2, 2)]  # homonyms tie, the smaller id first; place 3 isn't known
-    flipped = search.search_batch(q, groups, places, 3, rerank=lambda df: df.withColumn("rerank_score", F.col("geonameid").cast("double")))
+    flipped = search.search_batch(q, named, places, 3, rerank=lambda df: df.withColumn("rerank_score", F.col("geonameid").cast("double")))
     assert sorted((r["rank"], r["geonameid"]) for r in flipped.filter("q = 'moscow'").collect())[0][1] == 4
     with pytest.raises(ValueError):
-        search.search_batch(q, groups, places, 101)
+        search.search_batch(q, named, places, 101)
     assert search.hydrate(spark.createDataFrame([(1,), (1,), (9,)], "geonameid bigint"), places).count() == 1
 
 

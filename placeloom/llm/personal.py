@@ -140,7 +140,7 @@ _ID_VALUE = r"\d{6} ?\d{8} ?\d{3}[\dXx]|\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{3}([ -])\d
 _ID_AFTER = r"(?= ?(?:is written in the guest book|указан в заявке|kimlik numarasıyla|numaralı kimlik))"
 _EDGE, _END = r"(?<![\dA-Za-z])(?<!\d[.,/:\-])", r"(?![\dA-Za-z])(?![.\-/]\d)"
 _ID = re.compile(
-    rf"(?:(?<=\W)|^){_ID_LABEL}\W{{0,3}}(?:是|为|為|yazan)?\W{{0,2}}(?P<a>{_ID_VALUE}){_END}".replace(r"([ -])\d{2}\1", r"(?P<s1>[ -])\d{2}(?P=s1)")
+    rf"(?<![A-Za-zÀ-ɏЀ-ӿ]){_ID_LABEL}\W{{0,3}}(?:是|为|為|yazan)?\W{{0,2}}(?P<a>{_ID_VALUE}){_END}".replace(r"([ -])\d{2}\1", r"(?P<s1>[ -])\d{2}(?P=s1)")
     + rf"|{_EDGE}(?P<b>{_ID_VALUE}){_END}{_ID_AFTER}".replace(r"([ -])\d{2}\1", r"(?P<s2>[ -])\d{2}(?P=s2)")
     + rf"|{_EDGE}(?P<c>\d{{17}}[\dXx]|\d{{6}} \d{{8}} \d{{3}}[\dXx]|\d{{3}}-\d{{3}}-\d{{3}} \d{{2}}|\d{{3}}-\d{{2}}-\d{{4}}|\d{{2}} ?\d{{2}} № ?\d{{6}}|[2-9]\d{{10}}(?=\D*kimlik))" + _END,
     re.I,
@@ -236,7 +236,8 @@ class NameBook:
         if firsts and seconds:
             given += f"|[{firsts}][{seconds}]"
         family = "|".join(sorted(map(re.escape, han["family"]), key=lambda g: (-len(g), g))) or r"(?!)"
-        return regex.compile(rf"(?:(?:{family})|(?<={_HAN_CUE})\p{{Han}})(?:{given})(?!灣|湾|廟會|庙会|河|山|街|路)")
+        # a family name of the list speaks for itself; an unknown one needs a cue or a boundary, and no feature named after the given name
+        return regex.compile(rf"(?:{family})(?:{given})|(?<={_HAN_CUE})\p{{Han}}(?:{given})(?!灣|湾|廟會|庙会|河於|山於)")
 
     def of(self, word: str) -> frozenset[str]:
         got = self.cache.get(word)

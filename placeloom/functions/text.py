@@ -151,3 +151,11 @@ def highlight(text: Column, entities: Column) -> Column:
 
 def log_population(c: Column) -> Column:
     return F.log1p(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("double"))
+
+
+def country_flag(code: Column) -> Column:
+    """The two regional indicator symbols of a two-letter code; anything else gives an empty string."""
+    up = F.upper(code)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    signs = "".join(chr(0x1F1E6 + i) for i in range(26))
+    return F.when(up.rlike(r"\A[A-Z]{2}\z"), F.translate(up, letters, signs)).otherwise(F.lit(""))

@@ -82,3 +82,13 @@ def latency_percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
         above = F.min(F.when(F.col("upto") >= F.least(lo + 1, F.col("n")), F.col("v")))
         out.append(F.round(below + (above - below) * F.max(at - lo), 6).alias(f"p{p}"))
     return line.groupBy(*by).agg(F.max("n").alias("n"), *out, F.min("v").alias("least"), F.max("v").alias("most"))
+
+
+def score_table(runs: dict[str, DataFrame]) -> str:
+    """A Markdown table with a line for each named metrics row. One row of each run comes to the driver."""
+    names = ["rr", "p1", *[f"r{k}" for k in CUTS]]
+    lines = ["| run | " + " | ".join(names) + " |", "|---" * (len(names) + 1) + "|"]
+    for title, df in runs.items():
+        row = df.first()
+        lines.append(f"| {title} | " + " | ".join(f"{row[n] or 0:.4f}" for n in names) + " |")
+    return "\n".join(lines)

@@ -117,6 +117,12 @@ SQL: dict[str, str] = {
     "name_groups": _with(_BASE, "SELECT name, count(*) AS n, string_agg(geonameid || ':' || population, ',' ORDER BY geonameid, population) AS places FROM (SELECT DISTINCT name, geonameid, coalesce(population, 0) AS population FROM rows) GROUP BY name"),
     "places_projection": _with("places scope", "SELECT geonameid, asciiname, country_code, population, feature_code, latitude, longitude FROM scope"),
     "admin1_names": _with("places scope", "SELECT s.geonameid, coalesce(a.admin1_name, '') AS admin1_name FROM scope s LEFT JOIN admin1 a ON s.country_code = a.country_code AND s.admin1_code = a.admin1_code"),
+    "descriptions": _with(
+        _BASE,
+        f"""SELECT geonameid, {_strip("concat_ws(chr(10), names, coalesce(c.country_name, country_code, ''), coalesce(a.admin1_name, ''))")} AS description FROM (
+          SELECT geonameid, country_code, admin1_code, array_to_string(list_sort(list(DISTINCT name)), ' | ') AS names FROM rows GROUP BY 1, 2, 3) g
+        LEFT JOIN admin1 a USING (country_code, admin1_code) LEFT JOIN (VALUES ('RU', 'Russia'), ('US', 'United States'), ('TR', 'Turkey'), ('CN', 'China')) c(country_code, country_name) USING (country_code)""",
+    ),
     "hydrate_semi": _with("places scope", "SELECT geonameid, asciiname, population FROM scope s WHERE EXISTS (SELECT 1 FROM geoname_matches m WHERE m.geonameid = s.geonameid)"),
     "coverage_check": _with(_BASE, "SELECT count(*) AS missing FROM (SELECT DISTINCT geonameid FROM rows) r WHERE NOT EXISTS (SELECT 1 FROM scope s WHERE s.geonameid = r.geonameid)"),
     "char_ngrams": _with(f"{_BASE} names docs", "SELECT term, count(*) AS n FROM (SELECT unnest(g) AS term FROM docs) GROUP BY term"),
@@ -157,6 +163,12 @@ SQL: dict[str, str] = {
         ['flights', 'hotels', 'weather', 'transport', 'food', 'tourism', 'history', 'population', 'relocation', 'news', 'education'][least(CAST(floor(t * 11) AS BIGINT) + 1, 11)] AS topic
       FROM (SELECT request_id, {_draw("'42'", "'style'", "request_id::VARCHAR")} AS s, {_draw("'42'", "'topic'", "request_id::VARCHAR")} AS t FROM (SELECT DISTINCT request_id FROM query_plan))""",
     "plan_provenance": _with("requests", "SELECT r.request_id, r.sample_source, p.strat_band, p.group_country FROM requests r JOIN (SELECT request_id, min(strat_band) AS strat_band, min(group_country) AS group_country FROM query_plan GROUP BY 1) p USING (request_id)"),
+    "request_messages": """SELECT request_id, CASE WHEN sample_source IN ('one_city', 'multi_city', 'city_admin1', 'city_country', 'city_admin1_country') THEN
+        'language: ' || coalesce(isolanguage, '') || chr(10) || CASE WHEN sample_source = 'multi_city' THEN 'names: ' ELSE 'name: ' END || coalesce(name, '')
+        || CASE WHEN sample_source IN ('city_admin1', 'city_admin1_country') THEN chr(10) || 'region: ' || coalesce(admin1_name, '') ELSE '' END
+        || CASE WHEN sample_source IN ('city_country', 'city_admin1_country') THEN chr(10) || 'country: ' || coalesce(country_name, '') ELSE '' END
+        || chr(10) || 'style: ' || coalesce(style, '') || chr(10) || 'topic: ' || coalesce(topic, '') END AS message FROM query_plan""",
+    "result_table": _with("places scope", "SELECT geonameid, CASE WHEN regexp_full_match(upper(country_code), '[A-Z]{2}') THEN chr(127397 + ascii(substring(upper(country_code), 1, 1))) || chr(127397 + ascii(substring(upper(country_code), 2, 1))) ELSE '' END AS flag, floor(latitude * 10000 + 0.5) / 10000 AS latitude, floor(longitude * 10000 + 0.5) / 10000 AS longitude, greatest(coalesce(population, 0), 1) AS size FROM scope"),
     "validate_rows": _with("requests", f"SELECT request_id, reason = '' AS valid, reason AS invalid_reason FROM (SELECT request_id, {_REASON} AS reason FROM requests)"),
     "checkpoint_latest": f"""SELECT request_id, query, {_bucket_sql("gold_")} FROM (
         SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY generated_at DESC NULLS LAST, attempts DESC NULLS LAST, query DESC NULLS LAST) AS rn FROM query_dataset WHERE prompt_version = (SELECT max(prompt_version) FROM query_dataset))

@@ -320,6 +320,21 @@ def plan_provenance(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).select("request_id", "sample_source").join(plan, "request_id")
 
 
+@query
+def request_messages(spark: SparkSession, d: str) -> DataFrame:
+    from placeloom.plans.messages import user_message
+
+    c = [F.col(x) for x in ("sample_source", "isolanguage", "name", "admin1_name", "country_name", "style", "topic")]
+    return table(spark, d, "query_plan").select("request_id", user_message(*c).alias("message"))
+
+
+@query
+def result_table(spark: SparkSession, d: str) -> DataFrame:
+    p = names.places_projection(scope(spark, d))
+    near = lambda c: (F.floor(F.col(c) * 10000.0 + 0.5) / 10000.0).alias(c)
+    return p.select("geonameid", X.country_flag(F.col("country_code")).alias("flag"), near("latitude"), near("longitude"), F.greatest(F.coalesce("population", F.lit(0)), F.lit(1)).alias("size"))
+
+
 # ------------------------------------------------------------------ generated queries
 
 

@@ -115,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _STRATA = """
 WITH size AS (SELECT count(DISTINCT request_id) // 5 AS size FROM query_plan),
 seen AS (
-  SELECT lower(trim(isolanguage)) AS isolanguage, trim(sample_source) AS sample_source, trim(pool) AS pool, count(DISTINCT request_id) AS observed
+  SELECT lower(trim(isolanguage)) AS isolanguage, sample_source, pool, count(DISTINCT request_id) AS observed
   FROM query_plan WHERE isolanguage IS NOT NULL AND sample_source IS NOT NULL AND pool IS NOT NULL GROUP BY 1, 2, 3),
 report AS (
   SELECT t.*, s.size, coalesce(o.observed, 0) AS observed, greatest(CAST(t.min_rows AS BIGINT), CAST(floor(t.target_share * s.size) AS BIGINT)) AS quota

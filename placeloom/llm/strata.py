@@ -5,7 +5,7 @@ is accepted when the number is below quota / observed, widened a little so that
 The surplus is then cut exactly, by rank of the draw; a stratum that drew too few is drawn again in full, so the counts
 never depend on luck. Ranks are taken within hash ranges (``exact_rank``), so no stratum is sorted in one task.
 
-Defined cases: categories are compared trimmed, the language also in lower case; rows with a null category belong to no
+Defined cases: the language is compared trimmed and in lower case, other categories as they are; rows with a null category belong to no
 stratum but count in the size; repeated rows of a request count once; a request in two strata is counted in each; an
 empty table gives an empty sample and a report in which each stratum with a floor falls short.
 """
@@ -22,8 +22,7 @@ FRACTION_OF, SURPLUS_SD = 5, 5.0
 
 
 def _category(c: str, lower: bool) -> Column:
-    v = F.regexp_replace(F.col(c), r"(?U)^\s+|\s+$", "")
-    return F.lower(v) if lower else v
+    return F.lower(F.regexp_replace(F.col(c), r"(?U)^\s+|\s+$", "")) if lower else F.col(c)
 
 
 def stratum_requests(plan: DataFrame, key: str, strata: list[str], lowered: str) -> DataFrame:

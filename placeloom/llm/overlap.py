@@ -134,7 +134,9 @@ def matching_texts(texts: DataFrame) -> DataFrame:
     held_out = cut(texts.filter("not train").select("place", "q").distinct().select("*", flat.alias("flat")).withColumn("n", F.length("flat")))
     segments = held_out.select("place", "n").distinct().withColumn("seg", F.explode(F.expr(_SEGMENTS))).groupBy("place").agg(F.collect_list("seg").alias("segments"), F.array_distinct(F.collect_list("n")).alias("lengths"))
     train = texts.filter("train").select("place", "q").distinct().join(segments, "place").select("*", flat.alias("flat")).withColumn("m", F.length("flat"))
-    train = cut(train.withColumn("keys", F.expr(_SUBSTRINGS)).withColumn("short", F.filter(_without_one(F.split("q", " ")), lambda w: F.exists(F.col("lengths"), lambda n: n == F.length(w)))).drop("segments", "lengths"))
+    # only hashes of substrings and shortened strings are kept; candidates are checked on the texts
+    useful = F.filter(_without_one(F.split("q", " ")), lambda w: F.exists(F.col("lengths"), lambda n: n == F.length(w)))
+    train = cut(train.select("place", "q", "flat", F.expr(_SUBSTRINGS).alias("keys"), F.transform(useful, lambda w: F.xxhash64(F.lit("more"), w)).alias("short")))
 
     e = held_out.select("place", F.col("q").alias("eq"), F.col("flat").alias("ef"), "n")
     t = train.select("place", F.col("q").alias("tq"), F.col("flat").alias("tf"), "keys", "short")
@@ -147,11 +149,12 @@ def matching_texts(texts: DataFrame) -> DataFrame:
     near = near.filter(f"levenshtein(ef, tf, 2 * ({_slips_sql('length(ef)')})) >= 0").distinct().filter(_slipped("ef", "tf")).select("place", "eq", "tq")
 
     # one word more or less, and equal without blanks, are equalities of strings
-    e_word = e.select("place", "eq", F.explode(F.concat(F.array(F.struct(F.lit("full").alias("kind"), F.col("ef").alias("s")), F.struct(F.lit("more").alias("kind"), F.col("ef").alias("s"))), F.transform(_without_one(F.split("eq", " ")), lambda w: F.struct(F.lit("less").alias("kind"), w.alias("s"))))).alias("k"))
-    t_word = t.select("place", "tq", F.explode(F.concat(F.array(F.struct(F.lit("full").alias("kind"), F.col("tf").alias("s")), F.struct(F.lit("less").alias("kind"), F.col("tf").alias("s"))), F.transform("short", lambda w: F.struct(F.lit("more").alias("kind"), w.alias("s"))))).alias("k"))
-    e_word = e_word.select("place", "eq", F.xxhash64("k.kind", "k.s").alias("key"), F.col("k.s").alias("s"))
-    t_word = t_word.select("place", "tq", F.xxhash64("k.kind", "k.s").alias("key"), F.col("k.s").alias("s2"))
-    word = e_word.join(t_word, ["place", "key"]).filter("s = s2").select("place", "eq", "tq")
+    full = lambda c: F.array(F.xxhash64(F.lit("full"), c))
+    e_keys = F.concat(full(F.col("ef")), F.array(F.xxhash64(F.lit("more"), F.col("ef"))), F.transform(_without_one(F.split("eq", " ")), lambda w: F.xxhash64(F.lit("less"), w)))
+    t_keys = F.concat(full(F.col("tf")), F.array(F.xxhash64(F.lit("less"), F.col("tf"))), F.col("short"))
+    word = e.select("place", "eq", "ef", F.explode(e_keys).alias("key")).join(t.select("place", "tq", "tf", F.explode(t_keys).alias("key")), ["place", "key"])
+    one = F.array_contains(_without_one(F.split("tq", " ")), F.col("ef")) | F.array_contains(_without_one(F.split("eq", " ")), F.col("tf"))
+    word = word.filter((F.col("ef") == F.col("tf")) | one).select("place", "eq", "tq")
 
     bag = F.xxhash64(F.array_join(F.array_sort(F.split("q", " ")), " "))
     e_bag, t_bag = held_out.filter("instr(q, ' ') > 0").select("place", F.col("q").alias("eq"), bag.alias("key")), train.filter("instr(q, ' ') > 0").select("place", F.col("q").alias("tq"), bag.alias("key"))

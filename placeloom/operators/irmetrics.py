@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from placeloom.runtime import sorted_rank
+
 CUTS = (5, 10, 25, 50)
 #: Equal ranges that a group's values are counted in.
 RANGES = 4096
@@ -37,8 +39,8 @@ def oracle_run(qrels: DataFrame, run: DataFrame) -> DataFrame:
     """The run with relevant ids first, each part in its order: the ceiling of re-ranking."""
     rel = qrels.select("query", "id", F.lit(1).alias("gold")).distinct()
     marked = run.join(rel, ["query", "id"], "left")
-    order = W.partitionBy("query").orderBy(F.desc(F.coalesce("gold", F.lit(0))), "rank", "id")
-    return marked.withColumn("rank", F.row_number().over(order)).drop("gold")
+    by = marked.select("*", F.coalesce("gold", F.lit(0)).alias("__gold"), F.col("rank").alias("__rank")).drop("gold")
+    return sorted_rank(by, ["query"], [F.desc("__gold"), F.asc("__rank"), F.asc("id")]).drop("__gold", "__rank")
 
 
 def gate(before: DataFrame, after: DataFrame) -> bool:

@@ -12,7 +12,7 @@ from placeloom.functions import text as X
 from placeloom.operators import badrows, bm25, corpus, features, irmetrics, names, ner, pairs, search, validate
 from placeloom.plans import sample_plan as P
 from placeloom.plans.oracle import SQL  # noqa: F401
-from placeloom.runtime import table
+from placeloom.runtime import sorted_rank, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,12 +60,15 @@ def search_texts(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).select(X.query_text(F.col("entities")).alias("q")).distinct()
 
 
-def run_of_matches(spark: SparkSession, d: str) -> DataFrame:
-    """geoname_matches as a run: the best row of each place, ranked in its request as far as a search may return (k is 100 at most)."""
+def scored_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The best score of each place of a request in geoname_matches; rows without a score are no matches."""
     m = table(spark, d, "geoname_matches").filter("retriever_score is not null and not isnan(retriever_score)")
-    best = m.groupBy("request_id", "geonameid").agg(F.max("retriever_score").alias("score"), F.max(F.coalesce("population", F.lit(0))).alias("population"))
-    w = P.W.partitionBy("request_id").orderBy(F.desc("score"), F.desc("population"), F.asc("geonameid"))
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= search.MOST_RESULTS)
+    return m.groupBy("request_id", "geonameid").agg(F.max("retriever_score").alias("score"), F.max(F.coalesce("population", F.lit(0))).alias("population"))
+
+
+def run_of_matches(spark: SparkSession, d: str) -> DataFrame:
+    """geoname_matches as a run: the best row of each place, all of them ranked in their request."""
+    return sorted_rank(scored_matches(spark, d), ["request_id"], [F.desc("score"), F.desc("population"), F.asc("geonameid")])
 
 
 def gold_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -496,7 +499,7 @@ def oracle_run(spark: SparkSession, d: str) -> DataFrame:
 def empty_accuracy(spark: SparkSession, d: str) -> DataFrame:
     # requests of the plan that were never generated have no answer
     asked = table(spark, d, "query_plan").select(F.col("request_id").alias("query")).distinct().join(requests(spark, d).select(F.col("request_id").alias("query"), F.size("geonameid").alias("gold_size")), "query", "left").na.fill(0, ["gold_size"])
-    return irmetrics.empty_accuracy(asked, _run(spark, d))
+    return irmetrics.empty_accuracy(asked, scored_matches(spark, d).select(F.col("request_id").alias("query")))
 
 
 @query

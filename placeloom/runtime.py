@@ -70,3 +70,23 @@ def exact_rank(df: DataFrame, group: list[str], order: list[str], out: str = "ra
     for i, c in enumerate(keys):
         on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
     return ranked.join(before, on, "left").select(*df.columns, (F.col("__before") + F.col("__inside")).alias(out))
+
+
+def sorted_rank(df: DataFrame, group: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """1-based rank of each row in its group by ``order``, which must identify a row in its group; replaces a column ``out``.
+
+    Rows are sorted by ranges over all groups, so a group of any size, with any ties in the first columns, spreads over
+    tasks. The sorted rows are cut, then counted per (group, task), and a row's place in its task is added to the counts
+    of the tasks before.
+    """
+    keep = [c for c in df.columns if c != out]
+    at = cut(df.orderBy(*[F.asc(c) for c in group], *order).select(*keep, F.monotonically_increasing_id().alias("__at")))
+    # the id has the task above its lower 33 bits
+    placed = at.withColumn("__task", F.shiftright("__at", 33))
+    keys = [*group, "__task"]
+    counts = placed.groupBy(*keys).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "__first", (F.sum("__n").over(W.partitionBy(*group).orderBy("__task")) - F.col("__n")).alias("__before"))
+    on = F.lit(True)
+    for i, c in enumerate(keys):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return placed.join(before, on).select(*keep, (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias(out))

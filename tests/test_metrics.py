@@ -5,6 +5,8 @@ from collections import defaultdict
 import pytest
 from placeloom.operators import irmetrics as M
 from placeloom.operators import ner, validate
+from placeloom.plans.queries import run_of_matches
+from placeloom.runtime import sorted_rank
 from pyspark.sql import functions as F
 
 REL, RUN = "query int, id int", "query int, id int, rank int"
@@ -47,6 +49,42 @@ def test_percentiles(spark):
     assert got["one"]["p50"] == got["one"]["p99"] == 2.5
 
 
+MATCH = "request_id bigint, geonameid bigint, population bigint, retriever_score double"
+
+
+def test_whole_run_is_ranked(spark, tmp_path):
+    rng = random.Random(3)
+    # request 1 has far more than a search returns, half of them at one score, some without a usable one
+    rows = [(1, i % 700, rng.choice([None, 0, 5]), rng.choice([0.5, 0.5, rng.random(), None, float("nan"), float("inf")])) for i in range(2000)] + [(r, i, 1, 1.0) for r in (2, 3) for i in range(3)]
+    spark.createDataFrame(rows, MATCH).repartition(4).write.parquet(f"{tmp_path}/geoname_matches.parquet")
+    best = {}
+    for r, g, p, x in rows:
+        if x is not None and x == x:
+            a, b = best.get((r, g), (x, 0))
+            best[r, g] = max(a, x), max(b, p or 0)
+    want = {}
+    for r in (1, 2, 3):
+        for n, (g, _) in enumerate(sorted(((g, v) for (q, g), v in best.items() if q == r), key=lambda y: (-y[1][0], -y[1][1], y[0]))):
+            want[r, g] = n + 1
+    run = run_of_matches(spark, str(tmp_path))
+    assert {(x["request_id"], x["geonameid"]): x["rank"] for x in run.collect()} == want and max(want.values()) > 600
+    last = max((v, k) for k, v in want.items())[1]
+    asked = spark.createDataFrame([last, (9, 1)], REL)
+    ids = run.selectExpr("request_id as query", "geonameid as id", "rank")
+    assert M.metrics(asked, ids).first()["rr"] == round(1 / max(want.values()) / 2, 4)
+    ceiling = {(x["query"], x["id"]): x["rank"] for x in M.oracle_run(asked, ids).collect()}
+    assert len(ceiling) == len(want) and ceiling[last] == 1 and all(ceiling[k] == v + (k[0] == 1) for k, v in want.items() if k != last)
+
+
+def test_sorted_rank(spark):
+    rows = [(None if i % 5 == 0 else i % 3, (i * 7919) % 1000) for i in range(1000)]
+    got = spark.createDataFrame(rows, "g int, v int").repartition(7)
+    got = sorted_rank(got, ["g"], [F.desc("v")]).collect()
+    for g in (None, 0, 1, 2):
+        assert [x["v"] for x in sorted((x for x in got if x["g"] == g), key=lambda x: x["rank"])] == sorted((v for h, v in rows if h == g), reverse=True)
+        assert sorted(x["rank"] for x in got if x["g"] == g) == list(range(1, sum(h == g for h, _ in rows) + 1))
+
+
 SPAN = "request_id int, language string, start int, end int, label string"
 
 

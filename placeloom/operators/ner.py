@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from placeloom.functions.text import align_span, named, spans_of, tokens_at
+from placeloom.functions.text import align_span, named, spans_of, tokens, tokens_at
 
 LABELS = ["CITY", "REGION", "STATE", "COUNTRY"]
 
@@ -48,15 +48,20 @@ def split_by_name(examples: DataFrame, share: float = 0.1, seed: str = "42") ->
     return examples.drop("split").join(chosen.withColumnRenamed("name", "__name"), F.col("name").eqNullSafe(F.col("__name")), "left").drop("__name").withColumnRenamed("__side", "split")
 
 
-def gazetteer_spans(texts: DataFrame, names: DataFrame, key: str = "request_id", text: str = "query", longest: int = 5) -> DataFrame:
+def gazetteer_spans(texts: DataFrame, names: DataFrame, key: str = "request_id", text: str = "query") -> DataFrame:
     """(key, start, end, label) of the longest known names, from left to right: a stand-in for a trained model.
 
-    names: name (lower case), label. Word sequences of up to ``longest`` tokens are joined to the names.
+    names: name (lower case), label. Word sequences of up to as many tokens as the longest name has are joined to the
+    names; that number is one row.
     """
+    known = names.select("name", "label").distinct()
+    most = known.agg(F.coalesce(F.max(F.size(tokens("name"))), F.lit(0)).alias("most"))
     toks = texts.select(key, F.col(text).alias("t"), F.inline(F.array(F.struct(tokens_at(text).alias("tok")))))
-    grams = toks.select(key, "t", "tok", F.explode(F.sequence(F.lit(0), F.size("tok") - 1)).alias("i")).filter("size(tok) > 0").select(key, "t", "tok", "i", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).filter(F.col("i") + F.col("n") <= F.size("tok"))
+    grams = toks.select(key, "t", "tok", F.explode(F.sequence(F.lit(0), F.size("tok") - 1)).alias("i")).filter("size(tok) > 0")
+    room = F.least("most", F.size("tok") - F.col("i"))
+    grams = grams.crossJoin(F.broadcast(most)).filter(room > 0).select(key, "t", "tok", "i", F.explode(F.sequence(F.lit(1), room)).alias("n"))
     start, end = F.get("tok", F.col("i"))["start"], F.get("tok", F.col("i") + F.col("n") - 1)["end"]
-    found = grams.select(key, start.alias("start"), end.alias("end"), F.lower(F.substring(F.col("t"), start + 1, end - start)).alias("name")).join(names.select("name", "label").distinct(), "name")
+    found = grams.select(key, start.alias("start"), end.alias("end"), F.lower(F.substring(F.col("t"), start + 1, end - start)).alias("name")).join(known, "name")
     order = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("e"), "label")))
     pick = F.aggregate(
         order, named(at=F.lit(0), out=F.array().cast("array<struct<start:int,end:int,label:string>>")),

@@ -120,6 +120,14 @@ def test_examples_and_split(spark):
     assert sorted(tuple(r) for r in spans.collect()) == [(1, 8, 14, "CITY"), (2, 0, 8, "CITY"), (3, 0, 8, "CITY")]
 
 
+def test_gazetteer_finds_names_of_any_length(spark):
+    rows = [(1, "去克孜勒苏柯尔克孜自治州旅游", "zh", None, None, None, ""), (2, "a b c d e f g h", "en", None, None, None, ""), (3, "b c", "en", None, None, None, "")]
+    known = spark.createDataFrame([("克孜勒苏柯尔克孜自治州", "CITY"), ("克孜勒苏", "CITY"), ("b c d e f g h", "CITY"), ("b c", "CITY"), ("İl".lower(), "CITY")], "name string, label string")
+    spans = ner.gazetteer_spans(spark.createDataFrame(rows, ROW), known)
+    assert sorted(tuple(r) for r in spans.collect()) == [(1, 1, 12, "CITY"), (2, 2, 15, "CITY"), (3, 0, 3, "CITY")]
+    assert ner.gazetteer_spans(spark.createDataFrame(rows, ROW), known.limit(0)).count() == 0
+
+
 def test_validation(spark):
     city, country, region = ("Rome", "CITY", 0, 4), ("Italy", "COUNTRY", 5, 10), ("Lazio", "STATE", 11, 16)
     rows = [

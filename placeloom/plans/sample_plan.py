@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions.text import strip
 from placeloom.operators.names import with_region
-from placeloom.runtime import cut
+from placeloom.runtime import cut, exact_rank
 
 BANDS = ("top", "mid", "low")
 
@@ -55,8 +55,6 @@ QUOTAS = {
 STYLES = {"search": 0.60, "casual": 0.25, "formal": 0.12, "rich": 0.03}
 TOPICS = ["flights", "hotels", "weather", "transport", "food", "tourism", "history", "population", "relocation", "news", "education"]
 TARGETS_PER_NAME, EXTRA_MIN, EXTRA_MAX = 2, 1, 2
-#: Names of a group that its multi-city requests choose from.
-EXTRA_POOL = 32
 
 
 def draw(*parts: Column | str) -> Column:
@@ -144,15 +142,20 @@ def expand_targets(picked: DataFrame, targets: DataFrame, kind: Kind, per_name:
 def multi_city(picked: DataFrame, pool: DataFrame, gold: DataFrame, seed: str) -> DataFrame:
     """Each anchor with one or two more names of its group that are no anchors.
 
-    The first ``EXTRA_POOL`` names of a group in drawn order are its candidates; each anchor takes of them by its own draw.
+    The other names of a group stand in the order of a hash, and each anchor draws different positions among all of them.
     """
     group = ["isolanguage", "country_code"]
     anchors = picked.select("name", *group, "strat_band")
-    others = pool.select("name", *group).distinct().join(anchors.select("name", *group), ["name", *group], "left_anti").withColumn("__d", draw(seed, F.col("name"), F.col("isolanguage"), F.col("country_code")))
-    few = others.withColumn("__rn", F.row_number().over(W.partitionBy(*group).orderBy("__d", "name"))).filter(F.col("__rn") <= EXTRA_POOL).select(*group, F.col("name").alias("city"))
+    others = pool.select("name", *group).distinct().join(anchors.select("name", *group), ["name", *group], "left_anti")
+    ranked = exact_rank(others, group, ["name"], "at").select(*group, "at", F.col("name").alias("city"))
     want = (F.lit(EXTRA_MIN) + F.floor(draw(seed, "n", F.col("name")) * (EXTRA_MAX - EXTRA_MIN + 1))).cast("int")
-    own = W.partitionBy("name", *group).orderBy(draw(seed, "own", F.col("name"), F.col("city")), "city")
-    extra = anchors.join(few, group).withColumn("pos", F.row_number().over(own)).filter(F.col("pos") <= want)
+    own = [draw(seed, f"own{i}", F.col("name"), *[F.col(c) for c in group]) for i in range(EXTRA_MAX)]
+    # the second position is drawn from the others and steps over the first
+    first, second = F.floor(own[0] * F.col("__n")) + 1, F.floor(own[1] * (F.col("__n") - 1)) + 1
+    both = F.array(first, second + (second >= first).cast("int"))
+    sized = anchors.join(others.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), group)
+    drawn = sized.select("name", *group, "strat_band", F.posexplode(F.slice(both, F.lit(1), F.least(want, F.col("__n")).cast("int"))).alias("pos", "at"))
+    extra = drawn.withColumn("pos", F.col("pos") + 1).join(ranked, [*group, "at"])
     listed = extra.select("name", *group, "strat_band", "pos", "city").unionByName(extra.select("name", *group, "strat_band").distinct().select("*", F.lit(0).alias("pos"), F.col("name").alias("city")))
     with_gold = listed.join(gold.select(F.col("name").alias("city"), "isolanguage", "geonameid"), ["city", "isolanguage"])
     out = with_gold.groupBy(F.col("name").alias("anchor"), *group, "strat_band").agg(F.array_sort(F.collect_list(F.struct("pos", "city"))).alias("cities"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("geonameid")))).alias("geonameid"))

@@ -1,6 +1,6 @@
 """Text functions on columns: n-grams, tokens with offsets, span location, normal form of names.
 
-All but ``name_norm`` are expressions of the JVM. Null input gives null (counts and arrays: empty), unless said otherwise.
+All but ``name_norm`` and ``parts_norm`` are expressions of the JVM. Null input gives null (counts and arrays: empty), unless said otherwise.
 """
 
 from __future__ import annotations
@@ -38,6 +38,18 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
+def casefold(c: Column | str) -> Column:
+    """Lower case in which also the final sigma is a sigma and the sharp s is two."""
+    return F.replace(F.translate(F.lower(col(c)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+
+
+def quoted_list(texts: Column) -> Column:
+    """Texts in quotes between brackets; an apostrophe inside asks for double quotes, or is escaped if both kinds occur."""
+    plain = lambda t: F.replace(F.replace(F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    each = lambda t: F.when(t.contains("'") & ~t.contains('"'), F.concat(F.lit('"'), plain(t), F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain(t), F.lit("'"), F.lit("\\'")), F.lit("'")))
+    return F.concat(F.lit("["), F.array_join(F.transform(texts, each), ", "), F.lit("]"))
+
+
 def char_ngrams(c: Column | str, n: int = GRAM) -> Column:
     """Character n-grams of each lower-case word, repeats kept; a word shorter than n is one gram."""
     words = F.filter(F.split(F.lower(strip(c)), r"(?U)\s+"), lambda w: w != "")
@@ -68,10 +80,23 @@ def norm(text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def name_norm(texts: pd.Series) -> pd.Series:
+def _norm(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else norm(t))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def parts_norm(lists: pd.Series) -> pd.Series:
+    """The normal form of each text of a list."""
+    return lists.map(lambda x: None if x is None else [norm(t) for t in x])
+
+
+def name_norm(c: Column | str) -> Column:
+    """``norm`` of a text. Texts of ASCII alone stay in the JVM; only the others are worked on in Python."""
+    c = col(c)
+    plain = c.rlike(r"\A\p{ASCII}*\z")
+    return F.when(plain, F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))).otherwise(_norm(F.when(~plain, c)))
+
+
 def tokens(c: Column | str) -> Column:
     """Words (with inner hyphens and underscores), single Han characters, and other visible characters."""
     return F.coalesce(F.regexp_extract_all(col(c), F.lit(TOKEN_PATTERN), F.lit(1)), F.array().cast("array<string>"))

@@ -91,41 +91,70 @@ def parse_cells(lines: DataFrame, line: str = "line", file_name: str = "file_nam
     )
 
 
+#: Pseudo columns of the cell table that stand for a whole line: its quoting is broken, or its number of columns is wrong.
+BROKEN_QUOTES, WRONG_WIDTH = -2, -1
+#: Rules that a call may bring; the rule table is broadcast.
+MAX_RULES = 1000
+
+
 def rule_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
-    return spark.createDataFrame([(r.kind, r.column, r.rank, r.reason, r.pattern) for r in rules], "kind string, column int, rank int, reason string, pattern string")
+    """Rules of cells, and those of whole lines with a null pattern, which no value meets."""
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    rows = [(k, c, rank, reason, None) for k in ("place", "name") for c, rank, reason in ((BROKEN_QUOTES, 1, "quoting"), (WRONG_WIDTH, 2, "columns"))]
+    return spark.createDataFrame(rows + [(r.kind, r.column, r.rank, r.reason, r.pattern) for r in rules], "kind string, column int, rank int, reason string, pattern string")
+
+
+def _cell_table(parsed: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """(key, kind, column, value): the cells that a rule is about, or one pseudo cell for a line that fails as a whole."""
+
+    def of_line(column: int) -> Column:
+        return F.array(F.struct(F.lit(column).alias("column"), F.lit(None).cast("string").alias("value")))
+
+    def ruled(kind: str, width: int) -> Column:
+        at = sorted({r.column for r in rules if r.kind == kind})
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.get("cells", F.lit(c)).alias("value")) for c in at]) if at else F.array().cast("array<struct<column:int,value:string>>")
+        return F.when(F.size("cells") != width, of_line(WRONG_WIDTH)).otherwise(cells)
+
+    cells = F.when(F.col("cells").isNull(), of_line(BROKEN_QUOTES)).when(F.col("kind") == "name", ruled("name", len(NAME_COLUMNS))).otherwise(ruled("place", len(PLACE_COLUMNS)))
+    return parsed.select(key, "kind", F.inline(cells))
 
 
 def violations(parsed: DataFrame, key: str = "line_id", rules: list[Rule] = RULES) -> DataFrame:
-    """One row per failing line: key and its first reason. The rule table has a fixed handful of rows, so it is broadcast."""
-    spark = parsed.sparkSession
-    width = F.when(F.col("kind") == "name", len(NAME_COLUMNS)).otherwise(len(PLACE_COLUMNS))
-    whole = parsed.select(
-        key, F.when(F.col("cells").isNull(), F.struct(F.lit(1).alias("rank"), F.lit("quoting").alias("reason"))).when(F.size("cells") != width, F.struct(F.lit(2).alias("rank"), F.lit("columns").alias("reason"))).alias("bad")
-    ).filter("bad is not null").select(key, "bad.rank", "bad.reason")
-    cells = parsed.filter(F.col("cells").isNotNull() & (F.size("cells") == width)).select(key, "kind", F.posexplode("cells").alias("column", "value"))
-    wrong = cells.join(F.broadcast(rule_table(spark, rules)), ["kind", "column"]).filter("not regexp_like(value, pattern)").select(key, "rank", "reason")
-    return whole.unionByName(wrong).groupBy(key).agg(F.min_by("reason", "rank").alias("reason"))
+    """One row per failing line: key and its first reason. One pass over the lines; only failing cells are shuffled."""
+    rules_of = rule_table(parsed.sparkSession, rules)
+    wrong = _cell_table(parsed, key, rules).join(F.broadcast(rules_of), ["kind", "column"]).filter("pattern is null or not regexp_like(value, pattern)")
+    first = wrong.groupBy(key).agg(F.min("rank").alias("rank"))
+    return first.join(F.broadcast(rules_of.select("rank", "reason").distinct()), "rank").select(key, "reason")
 
 
-def _blank_null(c: Column) -> Column:
-    return F.when(c != "", c)
+# Types of the columns that aren't text, and the forms that a value of each type has.
+TYPES = {
+    "geonameid": "bigint", "alternate_name_id": "bigint", "population": "decimal(38,0)", "latitude": "double", "longitude": "double", "elevation": "bigint", "dem": "bigint", "modification_date": "date",
+}
+FORMS = {"bigint": r"\A-?[0-9]+\z", "decimal(38,0)": r"\A-?[0-9]+\z", "double": r"\A-?[0-9]+(\.[0-9]+)?\z", "date": r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"}
+FLAGS = ("is_preferred_name", "is_short_name", "is_colloquial", "is_historic")
+_KEPT_EMPTY = ("name", "asciiname", "alternatenames", "alternate_name")
 
 
 def clean_rows(parsed: DataFrame, rejected: DataFrame, kind: str, key: str = "line_id") -> DataFrame:
-    """Typed rows of one kind, without the rejected lines. Unchecked columns that don't fit their type become null."""
+    """Typed rows of one kind, without the rejected lines.
+
+    Unchecked cells that don't fit their type are null, and their text stands in ``unparsed``, a map by column, so no
+    value is lost or changed. Populations have up to 38 digits; an empty one is 0.
+    """
     names = PLACE_COLUMNS if kind == "place" else NAME_COLUMNS
-    typed = {"geonameid": "bigint", "alternate_name_id": "bigint", "population": "bigint", "latitude": "double", "longitude": "double", "elevation": "bigint", "dem": "bigint", "modification_date": "date"}
-    flags = {"is_preferred_name", "is_short_name", "is_colloquial", "is_historic"}
     good = parsed.filter(F.col("kind") == kind).join(rejected.select(key), key, "left_anti")
-    cols = []
+    cols, lost = [], []
     for i, n in enumerate(names):
         c = F.get(F.col("cells"), F.lit(i))
-        if n in typed:
-            v = _blank_null(c).try_cast(typed[n])
-            c = F.coalesce(v, F.lit(0)) if n == "population" else v
-        elif n in flags:
+        if n in TYPES:
+            v = F.when(c.rlike(FORMS[TYPES[n]]), c).try_cast(TYPES[n])
+            lost.append(F.when((c != "") & v.isNull(), F.struct(F.lit(n).alias("key"), c.alias("value"))))
+            c = F.when(c == "", F.lit(0).cast(TYPES[n])).otherwise(v) if n == "population" else v
+        elif n in FLAGS:
             c = F.coalesce(c == "1", F.lit(False))
-        elif n not in ("name", "asciiname", "alternatenames", "alternate_name"):
-            c = _blank_null(c)
+        elif n not in _KEPT_EMPTY:
+            c = F.when(c != "", c)
         cols.append(c.alias(n))
-    return good.select(F.col(key), *cols)
+    return good.select(F.col(key), *cols, F.map_from_entries(F.array_compact(F.array(*lost))).alias("unparsed"))

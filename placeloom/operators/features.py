@@ -1,7 +1,7 @@
 """Match features of a query's spans against a place's description.
 
-Spans and descriptions are brought to normal form once per distinct text and joined back, as each meets the other many
-times. Country names are resolved to codes by whole words through a small table of names.
+Spans are brought to normal form once per query and descriptions once per place, as each meets the other many times.
+Country names are resolved to codes by whole words through a small table of names.
 
 Defined cases: null texts are empty; an empty description has no names; -1 as country match says that one side names no
 known country; a description has one to three lines.
@@ -9,13 +9,11 @@ known country; a description has one to three lines.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom import schemas as S
-from placeloom.functions.text import containment, gram_set, log_population, name_norm, strip
+from placeloom.functions.text import containment, gram_set, log_population, name_norm, parts_norm, strip
 
 MATCH_FEATURES = ["city_exact_match", "city_substr_match", "city_ngram_containment", "city_token_cover", "country_match", "has_country_span", "admin1_substr_match", "admin1_ngram_containment", "has_admin1_span"]
 
@@ -47,63 +45,59 @@ def countries_in(normal: Column, lookup: list[tuple[str, str]]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*hits)))
 
 
-def _normal_of(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with a column n_<c> in normal form for each of the columns: one pass over the distinct texts of all of them."""
-    texts = reduce(DataFrame.unionByName, [df.select(F.col(c).alias("t")) for c in columns]).filter("t is not null").distinct()
-    normal = texts.select("t", name_norm("t").alias("n"))
-    for c in columns:
-        df = df.join(normal.select(F.col("t").alias(f"t_{c}"), F.col("n").alias(f"n_{c}")), F.col(c) == F.col(f"t_{c}"), "left").drop(f"t_{c}").withColumn(f"n_{c}", F.coalesce(f"n_{c}", F.lit("")))
-    return df
-
+def parsed_queries(queries: DataFrame, lookup: list[tuple[str, str]]) -> DataFrame:
+    """The queries' columns (city_entities, country_entities, admin1_entities among them) and q_*: normal forms and codes.
 
-def parsed_queries(spans: DataFrame, lookup: list[tuple[str, str]]) -> DataFrame:
-    """Distinct span texts with their normal forms; columns city_entities, country_entities, admin1_entities."""
+    A normal form is made once for each query; grams are left to where they are used, as they are longer than their text.
+    """
     of = ["city_entities", "country_entities", "admin1_entities"]
-    df = _normal_of(spans.select(*[F.coalesce(c, F.lit("")).alias(c) for c in of]).distinct(), of)
-    return df.select(
-        *of, F.col("n_city_entities").alias("q_city"), F.filter(F.split("n_city_entities", " "), lambda t: t != "").alias("q_tokens"), gram_set("n_city_entities").alias("q_grams"),
-        countries_in(F.col("n_country_entities"), lookup).alias("q_codes"), (strip("country_entities") != "").alias("q_has_country"),
-        F.col("n_admin1_entities").alias("q_admin1"), gram_set("n_admin1_entities").alias("q_admin1_grams"), (strip("admin1_entities") != "").alias("q_has_admin1"),
-    )
+    own = queries.withColumns({c: F.coalesce(c, F.lit("")) for c in of})
+    made = own.select("*", name_norm("city_entities").alias("q_city"), name_norm("country_entities").alias("__country"), name_norm("admin1_entities").alias("q_admin1"))
+    return made.select(*queries.columns, "q_city", "q_admin1", countries_in(F.col("__country"), lookup).alias("q_codes"), (strip("country_entities") != "").alias("q_has_country"), (strip("admin1_entities") != "").alias("q_has_admin1"))
 
 
-def parsed_documents(documents: DataFrame, lookup: list[tuple[str, str]], doc: str = "document") -> DataFrame:
-    """Distinct descriptions with names, grams of each name, country codes and region in normal form."""
+def parsed_documents(documents: DataFrame, lookup: list[tuple[str, str]], doc: str = "document", key: str = "geonameid") -> DataFrame:
+    """A row for each ``key``: the description and d_*, its names, grams of each name, country codes and region in normal form.
+
+    A place is described once, so its text is brought to normal form once.
+    """
     lines = F.split(F.coalesce(F.col(doc), F.lit("")), "\n", -1)
-    parts = documents.select(doc).distinct().select(doc, F.get(lines, F.lit(0)).alias("first"), F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("second"), F.coalesce(F.get(lines, F.lit(2)), F.lit("")).alias("third"))
-    raw = parts.select(doc, F.posexplode_outer(F.split("first", r" \| ")).alias("pos", "raw"))
-    named = raw.withColumn("n", name_norm(F.coalesce("raw", F.lit("")))).groupBy(doc).agg(F.array_sort(F.collect_list(F.when(F.col("n") != "", F.struct("pos", "n")))).alias("ns"))
-    named = named.select(F.col(doc).alias("__doc"), F.col("ns.n").alias("names"))
-    rest = parts.select(doc, name_norm("second").alias("country"), name_norm("third").alias("region"))
-    full = rest.join(named, F.col(doc).eqNullSafe(F.col("__doc")), "left")
-    return full.select(doc, F.coalesce("names", F.array().cast("array<string>")).alias("d_names"), F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: gram_set(n)).alias("d_grams"), countries_in(F.col("country"), lookup).alias("d_codes"), F.col("region").alias("d_admin1"), gram_set("region").alias("d_admin1_grams"))
+    line = [F.coalesce(F.get(lines, F.lit(i)), F.lit("")) for i in range(3)]
+    made = documents.select(key, doc, parts_norm(F.split(line[0], r" \| ")).alias("names"), name_norm(line[1]).alias("country"), name_norm(line[2]).alias("region"))
+    made = made.select(key, doc, F.filter("names", lambda n: n != "").alias("d_names"), "country", "region")
+    return made.select(key, doc, "d_names", F.transform("d_names", lambda n: gram_set(n)).alias("d_grams"), countries_in(F.col("country"), lookup).alias("d_codes"), F.col("region").alias("d_admin1"), gram_set("region").alias("d_admin1_grams"))
 
 
 def match_columns() -> dict[str, Column]:
     """The nine features, over the columns of ``parsed_queries`` and ``parsed_documents``."""
+    words = F.filter(F.split("q_city", " "), lambda t: t != "")
     city = F.concat(F.lit(" "), F.col("q_city"), F.lit(" "))
     exact = F.exists("d_names", lambda n: city.contains(F.concat(F.lit(" "), n, F.lit(" "))))
     inside = F.exists("d_names", lambda n: (n != "") & F.col("q_city").contains(n))
     best = F.coalesce(F.array_max(F.transform("d_grams", lambda g: containment(g, F.col("q_grams")))), F.lit(0.0))
-    covered = F.size(F.filter("q_tokens", lambda t: F.exists("d_names", lambda n: n.contains(t))))
+    covered = F.size(F.filter(words, lambda t: F.exists("d_names", lambda n: n.contains(t))))
     one = lambda c: c.cast("double")
     return {
         "city_exact_match": one(exact),
         "city_substr_match": one(exact | inside),
         "city_ngram_containment": best,
-        "city_token_cover": F.when(F.size("q_tokens") > 0, covered / F.size("q_tokens")).otherwise(F.lit(0.0)),
+        "city_token_cover": F.when(F.size(words) > 0, covered / F.size(words)).otherwise(F.lit(0.0)),
         "country_match": F.when((F.size("q_codes") > 0) & (F.size("d_codes") > 0), one(F.arrays_overlap("q_codes", "d_codes"))).otherwise(F.lit(-1.0)),
         "has_country_span": one(F.col("q_has_country")),
         "admin1_substr_match": one((F.col("d_admin1") != "") & F.col("q_admin1").contains(F.col("d_admin1"))),
-        "admin1_ngram_containment": containment(F.col("d_admin1_grams"), F.col("q_admin1_grams")),
+        "admin1_ngram_containment": containment(F.col("d_admin1_grams"), gram_set("q_admin1")),
         "has_admin1_span": one(F.col("q_has_admin1")),
     }
 
 
-def build_features(pairs: DataFrame, lookup: list[tuple[str, str]]) -> DataFrame:
-    """pairs (three span texts, document, population, retriever_score, retriever_rank, others) with the numeric features."""
-    spans = ["city_entities", "country_entities", "admin1_entities"]
-    pairs = pairs.withColumns({c: F.coalesce(c, F.lit("")) for c in [*spans, "document"]})
-    full = pairs.join(parsed_queries(pairs, lookup), spans).join(parsed_documents(pairs, lookup), "document")
-    keep = [c for c in pairs.columns if c != "population"]
+def build_features(results: DataFrame, queries: DataFrame, documents: DataFrame, lookup: list[tuple[str, str]], on: str = "request_id", key: str = "geonameid") -> DataFrame:
+    """results (on, key, population and others) with their query's and document's columns and the numeric features.
+
+    Both joins are on ids. Queries come first, as short texts; the places' grams are joined last and are never moved with
+    a pair.
+    """
+    full = results.join(parsed_queries(queries, lookup), on).join(parsed_documents(documents, lookup), key)
+    # a generator between the grams and their use, else the optimiser would make them anew for each of a place's names
+    full = full.select("*", F.inline(F.array(F.struct(gram_set("q_city").alias("q_grams")))))
+    keep = [c for c in dict.fromkeys([*results.columns, *queries.columns, "document"]) if c != "population"]
     return full.select(*keep, log_population(F.col("population")).alias("log_population"), *[c.alias(n) for n, c in match_columns().items()])

@@ -6,11 +6,16 @@ queries without relevant ids count in no mean; repeated pairs count once, at the
 
 from __future__ import annotations
 
+import json
+from datetime import UTC, datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeloom.runtime import sorted_rank
+from placeloom.sources.dumps import put_text
 
 CUTS = (5, 10, 25, 50)
 #: Equal ranges that a group's values are counted in.
@@ -94,3 +99,27 @@ def score_table(runs: dict[str, DataFrame]) -> str:
         row = df.first()
         lines.append(f"| {title} | " + " | ".join(f"{row[n] or 0:.4f}" for n in names) + " |")
     return "\n".join(lines)
+
+
+def evaluation(qrels: DataFrame, runs: dict[str, DataFrame], ideal_of: str | None = None) -> DataFrame:
+    """A row of means for each named run, and for the ideal order of one of them: all runs meet the judgements in one join.
+
+    Every system is judged on the same queries, those with relevant ids.
+    """
+    named = dict(runs)
+    if ideal_of is not None:
+        named["ideal"] = oracle_run(qrels, runs[ideal_of])
+    tagged = [df.select(F.lit(name).alias("system"), "query", "id", "rank") for name, df in named.items()]
+    run = reduce(DataFrame.unionByName, tagged)
+    both = qrels.select("query", "id").distinct().withColumn("system", F.explode(F.array(*[F.lit(n) for n in named])))
+    key = F.struct("system", "query").alias("query")
+    q = per_query(both.select(key, "id"), run.select(key, "id", "rank"))
+    return q.groupBy(F.col("query.system").alias("system")).agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 4).alias(c) for c in q.columns if c != "query"])
+
+
+def write_metrics(df: DataFrame, path: str, key: str = "system", **about: object) -> dict:
+    """A metrics table (a row for each ``key``, so a handful) as one JSON file with what is known about the run; returns what was written."""
+    names = [c for c in df.columns if c != key]
+    payload = {"evaluated_at": datetime.now(UTC).isoformat(timespec="seconds"), **about, "columns": names, "rows": {r[key]: [r[n] for n in names] for r in df.orderBy(key).collect()}}
+    put_text(df.sparkSession, path, json.dumps(payload, ensure_ascii=False, indent=1))
+    return payload

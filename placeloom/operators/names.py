@@ -6,7 +6,7 @@ in a language count once; a region without a name is an empty string.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom import schemas as S
@@ -56,3 +56,8 @@ def descriptions(rows: DataFrame, admin1: DataFrame, country_names: DataFrame) -
     full = with_region(grouped, admin1).join(country_names.filter("language = 'en'").select("country_code", "country_name"), "country_code", "left")
     text = F.concat_ws("\n", "names", F.coalesce("country_name", "country_code", F.lit("")), "admin1_name")
     return full.select("geonameid", F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("description"))
+
+
+def distinct_tuples(*columns: str) -> Column:
+    """Aggregate: how many different tuples occur; a null is a value like any other."""
+    return F.count_distinct(F.struct(*columns))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeloom.functions.text import align_span, named, spans_of, tokens, tokens_at
+from placeloom.runtime import cut
 
 LABELS = ["CITY", "REGION", "STATE", "COUNTRY"]
 
@@ -35,33 +36,58 @@ def token_mismatches(examples: DataFrame) -> DataFrame:
 def split_by_name(examples: DataFrame, share: float = 0.1, seed: str = "42") -> DataFrame:
     """Adds split: every row of a name on one side, each language near its share.
 
-    A name belongs to its first language. Names stand in the order of a hash and go to validation while the rows before
-    them leave room. The running sum is taken over ranges of the hash first and then inside a range, so a language's names
-    need not fit one task.
+    A name belongs to its first language. The names of a language stand in the order of a hash; each goes to validation if
+    its rows still fit into the language's share, else to train, so a large name never keeps later ones out.
+
+    The fill runs in rounds for all languages at once: names larger than the room left can't fit any more and go; of the
+    others the longest beginning that fits is taken, and the next round starts behind the first that didn't. Each round
+    rules out at least the largest size left, so there are at most as many rounds as different sizes, mostly three or
+    four. Running sums are taken over ranges of the hash first and then inside a range, so a language's names need not
+    fit one task. A round brings one row for each language to the driver.
     """
-    names = examples.groupBy("name").agg(F.min("language").alias("language"), F.count(F.lit(1)).alias("n")).withColumn("d", F.md5(F.concat_ws("|", F.lit(seed), "language", "name"))).withColumn("r", F.substring("d", 1, 3))
-    ranges = names.groupBy("language", "r").agg(F.sum("n").alias("s"))
-    before = ranges.select(F.col("language").alias("__l"), F.col("r").alias("__r"), (F.sum("s").over(W.partitionBy("language").orderBy("r")) - F.col("s")).alias("before"), F.sum("s").over(W.partitionBy("language")).alias("total"))
-    inside = F.sum("n").over(W.partitionBy("language", "r").orderBy("d", "name"))
-    line = names.withColumn("inside", inside).join(before, F.col("language").eqNullSafe(F.col("__l")) & (F.col("r") == F.col("__r")))
-    chosen = line.select("name", F.when(F.col("before") + F.col("inside") <= F.lit(share) * F.col("total"), "validation").otherwise("train").alias("__side"))
-    return examples.drop("split").join(chosen.withColumnRenamed("name", "__name"), F.col("name").eqNullSafe(F.col("__name")), "left").drop("__name").withColumnRenamed("__side", "split")
+    spark = examples.sparkSession
+    per = examples.groupBy("name", "language").agg(F.count(F.lit(1)).alias("n"))
+    names = per.groupBy("name").agg(F.min(F.struct(F.coalesce("language", F.lit("")).alias("l"), "n")).alias("f")).select("name", F.col("f.l").alias("l"), F.col("f.n").alias("n"))
+    # position in the order: the digest and, among equal digests, the name
+    names = cut(names.withColumn("d", F.concat(F.md5(F.concat_ws("|", F.lit(seed), "l", "name")), F.coalesce(F.concat(F.lit("|"), "name"), F.lit("")))).withColumn("r", F.substring("d", 1, 3)))
+    totals = {r["l"]: r["n"] for r in per.groupBy(F.coalesce("language", F.lit("")).alias("l")).agg(F.sum("n").alias("n")).collect()}
+    state = {lang: (share * n, "") for lang, n in totals.items()}
+    taken: DataFrame | None = None
+    while state:
+        left = spark.createDataFrame([(lang, room, after) for lang, (room, after) in state.items()], "l string, room double, after string")
+        open_ = names.join(left, "l").filter("d > after and n <= room")
+        ranges = open_.groupBy("l", "r").agg(F.sum("n").alias("s"))
+        before = ranges.select(F.col("l").alias("__l"), F.col("r").alias("__r"), (F.sum("s").over(W.partitionBy("l").orderBy("r")) - F.col("s")).alias("before"))
+        line = open_.withColumn("inside", F.sum("n").over(W.partitionBy("l", "r").orderBy("d"))).join(before, (F.col("l") == F.col("__l")) & (F.col("r") == F.col("__r"))).withColumn("upto", F.col("before") + F.col("inside"))
+        line = cut(line.select("l", "name", "n", "d", "room", (F.col("upto") <= F.col("room")).alias("fits")))
+        fits = line.filter("fits").select("name")
+        taken = fits if taken is None else taken.unionByName(fits)
+        ends = line.groupBy("l").agg(F.min(F.when(~F.col("fits"), F.col("d"))).alias("stop"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("n"))), F.lit(0)).alias("used")).collect()
+        state = {r["l"]: (state[r["l"]][0] - r["used"], r["stop"]) for r in ends if r["stop"] is not None}
+    validation = examples.select("name").limit(0) if taken is None else taken
+    side = validation.select(F.col("name").alias("__name"), F.lit("validation").alias("__side"))
+    return examples.drop("split").join(side, F.col("name").eqNullSafe(F.col("__name")), "left").withColumn("split", F.coalesce("__side", F.lit("train"))).drop("__name", "__side")
 
 
 def gazetteer_spans(texts: DataFrame, names: DataFrame, key: str = "request_id", text: str = "query") -> DataFrame:
     """(key, start, end, label) of the longest known names, from left to right: a stand-in for a trained model.
 
-    names: name (lower case), label. Word sequences of up to as many tokens as the longest name has are joined to the
-    names; that number is one row.
+    names: name (lower case), label; names of any number of tokens match. A token is first joined to the names' first
+    tokens and the numbers of tokens of the names that begin so; only word sequences of these lengths meet the names. The
+    length in tokens of the longest name is one number for the driver.
     """
     known = names.select("name", "label").distinct()
-    most = known.agg(F.coalesce(F.max(F.size(tokens("name"))), F.lit(0)).alias("most"))
+    sized = known.select("name", tokens("name").alias("tok")).filter("size(tok) > 0")
+    most = sized.agg(F.max(F.size("tok"))).first()[0] or 0
+    heads = sized.groupBy(F.get("tok", F.lit(0)).alias("head")).agg(F.collect_set(F.size("tok")).alias("sizes"))
     toks = texts.select(key, F.col(text).alias("t"), F.inline(F.array(F.struct(tokens_at(text).alias("tok")))))
-    grams = toks.select(key, "t", "tok", F.explode(F.sequence(F.lit(0), F.size("tok") - 1)).alias("i")).filter("size(tok) > 0")
-    room = F.least("most", F.size("tok") - F.col("i"))
-    grams = grams.crossJoin(F.broadcast(most)).filter(room > 0).select(key, "t", "tok", "i", F.explode(F.sequence(F.lit(1), room)).alias("n"))
-    start, end = F.get("tok", F.col("i"))["start"], F.get("tok", F.col("i") + F.col("n") - 1)["end"]
-    found = grams.select(key, start.alias("start"), end.alias("end"), F.lower(F.substring(F.col("t"), start + 1, end - start)).alias("name")).join(known, "name")
+    # of each token: where it starts, the text of as many tokens as the longest name has, and where these end in it
+    ends = F.transform(F.slice("tok", F.col("i") + 1, F.lit(max(most, 1))), lambda x: x["end"] - F.get("tok", F.col("i"))["start"])
+    at = toks.filter("size(tok) > 0").select(key, "t", "tok", F.explode(F.sequence(F.lit(0), F.size("tok") - 1)).alias("i"))
+    at = at.select(key, F.get("tok", F.col("i"))["start"].alias("start"), F.lower(F.get("tok", F.col("i"))["token"]).alias("head"), ends.alias("ends"), "t")
+    at = at.select(key, "start", "head", "ends", F.substring("t", F.col("start") + 1, F.element_at("ends", -1)).alias("tail"))
+    grams = at.join(heads, "head").select(key, "start", "tail", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.size("ends")), lambda n: F.get("ends", n - 1))).alias("width"))
+    found = grams.select(key, "start", (F.col("start") + F.col("width")).alias("end"), F.lower(F.substring("tail", F.lit(1), F.col("width"))).alias("name")).join(known, "name")
     order = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("e"), "label")))
     pick = F.aggregate(
         order, named(at=F.lit(0), out=F.array().cast("array<struct<start:int,end:int,label:string>>")),

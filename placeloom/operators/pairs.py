@@ -14,15 +14,22 @@ from placeloom.operators.features import MATCH_FEATURES, build_features
 OUTPUT = ["city_entities", "country_entities", "admin1_entities", "document", "log_population", "retriever_score", "retriever_rank", *MATCH_FEATURES, "query", "label"]
 
 
+def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
+    """Distinct values with the least ``order`` that each has: where it was seen first. A null value is one of them."""
+    return df.groupBy(value).agg(F.min(order).alias(order))
+
+
+def with_documents(results: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """Results with their place's description as ``document``; a place without one keeps its row with an empty text."""
+    return results.join(descriptions.select("geonameid", F.col("description").alias("document")), "geonameid", "left").withColumn("document", F.coalesce("document", F.lit("")))
+
+
 def build_pairs(results: DataFrame, queries: DataFrame, descriptions: DataFrame, lookup: list[tuple[str, str]]) -> DataFrame:
     """results: request_id, rank (from 1), geonameid, score, population; queries: request_id, query, three span texts, gold ids."""
     asked = queries.select("request_id", "query", "city_entities", "country_entities", "admin1_entities", F.col("geonameid").alias("gold"))
-    full = results.join(asked, "request_id").join(descriptions.withColumnRenamed("description", "document"), "geonameid")
-    pairs = full.select(
-        "request_id", "geonameid", "query", "city_entities", "country_entities", "admin1_entities", "document", "population", F.col("score").cast("double").alias("retriever_score"),
-        (F.col("rank") - 1).cast("double").alias("retriever_rank"), F.coalesce(F.array_contains("gold", F.col("geonameid")), F.lit(False)).cast("int").alias("label"),
-    )
-    return build_features(pairs, lookup)
+    shown = results.select("request_id", "geonameid", "population", F.col("score").cast("double").alias("retriever_score"), (F.col("rank") - 1).cast("double").alias("retriever_rank"))
+    full = build_features(shown, asked, descriptions.withColumnRenamed("description", "document"), lookup)
+    return full.withColumn("label", F.coalesce(F.array_contains("gold", F.col("geonameid")), F.lit(False)).cast("int")).select("request_id", "geonameid", *OUTPUT)
 
 
 def held_out(query: Column, share: float, seed: str = "42") -> Column:

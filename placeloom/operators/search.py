@@ -43,7 +43,8 @@ def cut(candidates: DataFrame, places: DataFrame, k: int, key: str = "q") -> Dat
 def search_batch(queries: DataFrame, named: DataFrame, places: DataFrame, k: int = 50, key: str = "q", rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, rank, geonameid, score, hydrated columns) for a table of query texts.
 
-    ``rerank`` maps the result to one with a column ``rerank_score``; it changes the order of a query's places, never the set.
+    ``rerank`` maps the result to one with a column ``rerank_score``; it changes the order of a query's places, never the
+    set. Ties of that score go to the larger population, then the smaller id.
     """
     if not 1 <= k <= MOST_RESULTS:
         raise ValueError(f"k must be from 1 to {MOST_RESULTS}")
@@ -53,4 +54,5 @@ def search_batch(queries: DataFrame, named: DataFrame, places: DataFrame, k: int
     if rerank is None:
         return out
     scored = rerank(out)
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("rerank_score"), F.asc("rank"))))
+    order = W.partitionBy(key).orderBy(F.desc_nulls_last("rerank_score"), F.desc(F.coalesce("population", F.lit(0))), F.asc("geonameid"))
+    return scored.withColumn("rank", F.row_number().over(order))

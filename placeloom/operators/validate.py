@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom import schemas as S
-from placeloom.functions.text import buckets, locate_spans, named, spans_of, strip
+from placeloom.functions.text import buckets, casefold, locate_spans, named, quoted_list, spans_of, strip
 from placeloom.operators.corpus import keep_one
 
 # Which kinds of request must name a region or a country; the labels of spans.
@@ -34,13 +34,14 @@ def invalid_reason(query: Column, entities: Column, source: Column, name: Column
     def expect(kind: str, want: Column, got: Column) -> tuple[Column, Column]:
         return got != want, F.format_string(f"expected %d {kind} span(s), got %d", want, got)
 
-    located = locate_spans(query, F.transform(spans, lambda e: e["text"]))
+    texts = F.transform(spans, lambda e: e["text"])
+    missing = F.filter(texts, lambda t: ~F.coalesce(query.contains(t), F.lit(False)))
     checks = [
-        (query.isNull() | located.isNull(), F.lit("span not found verbatim in query")),
+        (query.isNull() | locate_spans(query, texts).isNull(), F.concat(F.lit("span not found verbatim in query: "), quoted_list(missing))),
         expect("CITY", F.coalesce(expected_cities(source, name), F.lit(1)), count(["CITY"])),
         expect("admin1", source.isin(NEEDS_REGION).cast("int"), count(REGION_LABELS)),
         expect("COUNTRY", source.isin(NEEDS_COUNTRY).cast("int"), count(["COUNTRY"])),
-        (F.lower(strip(query)) == F.lower(strip(name)), F.lit("query is the bare name")),
+        (casefold(strip(query)) == casefold(strip(name)), F.lit("query is the bare name")),
     ]
     out = F.lit(None).cast("string")
     for broken, reason in reversed(checks):
@@ -69,6 +70,12 @@ def done_ids(lines: DataFrame, version: str, line: str = "value") -> DataFrame:
     return lines.select(got.alias("r")).filter((F.col("r.prompt_version") == version) & F.col("r.request_id").isNotNull()).select("r.request_id").distinct()
 
 
+def usage(df: DataFrame, by: list[str], hit: Column, spent: Column) -> DataFrame:
+    """Counters of a run by group: rows, hits, their share (0 of no rows), amount spent and the most that one row spent."""
+    n, hits = F.count(F.lit(1)), F.count_if(hit)
+    return df.groupBy(*by).agg(n.alias("rows"), hits.alias("hits"), F.when(n > 0, F.round(hits / n, 4)).otherwise(0.0).alias("hit_rate"), F.coalesce(F.sum(spent), F.lit(0)).cast("bigint").alias("spent"), F.coalesce(F.max(spent), F.lit(0)).cast("bigint").alias("peak"))
+
+
 def checkpoint_table(rows: DataFrame, version: str, order: list[Column]) -> DataFrame:
     """Rows of one version, the first by ``order`` of each request, the valid ones, with their span texts by kind."""
     if "prompt_version" not in rows.columns:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from placeloom import schemas as S
 from placeloom.operators import bm25, names
 from placeloom.operators.features import country_names
-from placeloom.sources.dumps import NotBuiltError, build_id, write_table
+from placeloom.sources.dumps import NotBuiltError, build_id, get_text, put_text, read_table, table_path, write_table
 
 FORMAT = 1
 TABLES = ("name_groups", "postings", "places", "descriptions")
@@ -31,14 +31,9 @@ def missing_places(groups: DataFrame, places: DataFrame) -> DataFrame:
     return groups.select(F.explode("places.geonameid").alias("geonameid")).distinct().join(places.select("geonameid"), "geonameid", "left_anti")
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def _digest(spark: SparkSession, path: str) -> str:
     """sha256 over the sorted sha256 of the table's files, computed where the files are."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.sha2("content", 256).alias("h"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(table_path(spark, path)).select(F.sha2("content", 256).alias("h"))
     return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n").cast("binary"), 256)).first()[0]
 
 
@@ -55,31 +50,28 @@ def build(places: DataFrame, alternates: DataFrame, admin1: DataFrame, path: str
     made = {"name_groups": groups, "postings": bm25.postings(groups.select("name")), "places": table, "descriptions": names.descriptions(rows, admin1, country_names(spark, countries, languages))}
     for name, df in made.items():
         write_table(df, f"{path}/{name}", ident)
-    read = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    read = {name: read_table(spark, f"{path}/{name}") for name in TABLES}
     manifest = {
         "format": FORMAT, "build_id": ident, "built_at": datetime.now(UTC).isoformat(), "countries": countries, "languages": languages, "excluded_feature_codes": S.EXCLUDED_FEATURE_CODES,
         "n_documents": read["name_groups"].count(), "n_places": read["places"].count(), "n_descriptions": read["descriptions"].count(),
         "average_length": bm25.average_length(read["name_groups"]), "sha256": {name: _digest(spark, f"{path}/{name}") for name in TABLES},
     }
-    fs, p = _fs(spark, f"{path}/manifest.json")
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps(manifest, ensure_ascii=False, indent=1).encode()))
-    out.close()
+    put_text(spark, f"{path}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=1))
     return manifest
 
 
 def load(spark: SparkSession, path: str, countries: list[str] = S.COUNTRIES, languages: list[str] = S.LANGUAGES) -> tuple[dict, dict[str, DataFrame]]:
     """The manifest and tables, after checks of format, scope and build."""
-    fs, p = _fs(spark, f"{path}/manifest.json")
-    if not fs.exists(p):
+    text = get_text(spark, f"{path}/manifest.json")
+    if text is None:
         raise NotBuiltError(f"{path} has no manifest: build the serving set first")
-    manifest = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json", wholetext=True).collect()))
+    manifest = json.loads(text)
     if manifest.get("format") != FORMAT:
         raise StaleSetError(f"format {manifest.get('format')}, not {FORMAT}")
     for key, want in (("countries", countries), ("languages", languages), ("excluded_feature_codes", S.EXCLUDED_FEATURE_CODES)):
         if sorted(manifest[key]) != sorted(want):
             raise StaleSetError(f"{key} {manifest[key]}, not {want}")
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    tables = {name: read_table(spark, f"{path}/{name}") for name in TABLES}
     for name, df in tables.items():
         if build_id(df) != manifest["build_id"]:
             raise StaleSetError(f"{name} is of build {build_id(df)}, not {manifest['build_id']}")

@@ -61,9 +61,10 @@ def search_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored_matches(spark: SparkSession, d: str) -> DataFrame:
-    """The best score of each place of a request in geoname_matches; rows without a score are no matches."""
+    """The best row of each place of a request in geoname_matches, by score, then population; rows without a score are no matches."""
     m = table(spark, d, "geoname_matches").filter("retriever_score is not null and not isnan(retriever_score)")
-    return m.groupBy("request_id", "geonameid").agg(F.max("retriever_score").alias("score"), F.max(F.coalesce("population", F.lit(0))).alias("population"))
+    level = m.groupBy("request_id", "geonameid", F.col("retriever_score").alias("score")).agg(F.max(F.coalesce("population", F.lit(0))).alias("population"))
+    return level.groupBy("request_id", "geonameid").agg(F.max("score").alias("score"), F.max_by("population", "score").alias("population"))
 
 
 def run_of_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -94,16 +95,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.violations(_parsed(spark, d))
 
 
+def _clean(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    parsed = _parsed(spark, d).filter(F.col("kind") == kind)
+    rows = badrows.clean_rows(parsed, badrows.violations(parsed), kind)
+    left = F.transform(F.array_sort(F.map_entries("unparsed")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.withColumn("unparsed", joined(left, "|"))
+
+
 @query
 def p6_places(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _parsed(spark, d)
-    return badrows.clean_rows(parsed, badrows.violations(parsed), "place")
+    return _clean(spark, d, "place")
 
 
 @query
 def p6_names(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _parsed(spark, d)
-    return badrows.clean_rows(parsed, badrows.violations(parsed), "name")
+    return _clean(spark, d, "name")
 
 
 # ------------------------------------------------------------------ staging tables
@@ -126,11 +132,14 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Valid lines of the change files as place and name versions; the later line wins."""
-    parsed = _parsed(spark, d)
-    bad = badrows.violations(parsed)
-    p = badrows.clean_rows(parsed.filter("file_name like 'modifications-%'"), bad, "place").filter("feature_class = 'P' and geonameid is not null").filter(F.col("country_code").isin(S.COUNTRIES))
-    n = badrows.clean_rows(parsed.filter("file_name like 'alternateNamesModifications%'"), bad, "name").filter(F.col("isolanguage").isin(S.LANGUAGES)).filter("alternate_name_id is not null")
+    """Valid lines of the change files as place and name versions; the later line wins. A population beyond the table's type is null."""
+
+    def rows(files: str, kind: str) -> DataFrame:
+        parsed = _parsed(spark, d).filter(F.col("file_name").like(files))
+        return badrows.clean_rows(parsed, badrows.violations(parsed), kind)
+
+    p = rows("modifications-%", "place").filter("feature_class = 'P' and geonameid is not null").filter(F.col("country_code").isin(S.COUNTRIES)).withColumn("population", F.col("population").try_cast("bigint"))
+    n = rows("alternateNamesModifications%", "name").filter(F.col("isolanguage").isin(S.LANGUAGES)).filter("alternate_name_id is not null")
     return p, n
 
 
@@ -235,7 +244,7 @@ def doc_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     r = rows(spark, d).select("name").distinct()
-    return bm25.scores(search_texts(spark, d), bm25.postings(r), bm25.average_length(r)).groupBy("q").agg(F.count(F.lit(1)).alias("names"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 3).alias("total"))
+    return bm25.scores(search_texts(spark, d), bm25.postings(r), bm25.average_length(r)).select("q", "doc", F.round("score", 6).alias("score"))
 
 
 @query
@@ -249,6 +258,21 @@ def search_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.select("q", F.col("rank").cast("bigint").alias("rank"), "geonameid", "asciiname", "country_code", "population", F.round("score", 6).alias("score"))
 
 
+@query
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Results with their descriptions; the table of descriptions here lacks the places without a population, whose text is empty."""
+    r = rows(spark, d)
+    desc = names.descriptions(r.filter("population > 0"), table(spark, d, "admin1"), features.country_names(spark))
+    return pairs.with_documents(search_topk(spark, d), desc).select("q", "rank", "geonameid", "document")
+
+
+@query
+def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same set in the order of a coarser score, its ties by population."""
+    out = search.search_batch(search_texts(spark, d), names.name_places(rows(spark, d)), names.places_projection(scope(spark, d)), TOP_K, rerank=lambda x: x.withColumn("rerank_score", F.floor("score")))
+    return out.select("q", F.col("rank").cast("bigint").alias("rank"), "geonameid")
+
+
 # ------------------------------------------------------------------ plan of requests
 
 
@@ -378,6 +402,28 @@ def done_ids(spark: SparkSession, d: str) -> DataFrame:
     return validate.done_ids(lines, version)
 
 
+@query
+def generate_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """The whole loop against a recorded generator: each request's answer comes proper at its recorded attempt and broken before; odd ids of ten were done."""
+    from placeloom.plans.generate import generate
+
+    plan = table(spark, d, "query_plan").groupBy("request_id").agg(*[F.min(c).alias(c) for c in ("name", "isolanguage", "sample_source", "admin1_name", "country_name", "style", "topic")])
+    spoken = F.to_json(F.struct("query", F.transform("entities", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"))).alias("entities"), F.coalesce("confidence", F.lit(0.5)).alias("confidence")))
+    recorded = requests(spark, d).select("request_id", F.col("attempts").alias("good_at"), spoken.alias("spoken"))
+    done = plan.select("request_id").filter("request_id % 10 = 1")
+
+    def ask(pending: DataFrame) -> DataFrame:
+        return pending.join(recorded, "request_id", "left").withColumn("response", F.when(F.col("attempt") < F.col("good_at"), F.lit("{")).otherwise(F.col("spoken")))
+
+    out = generate(plan, ask, "v1", done, 3)
+    return out.select("request_id", "attempts", "valid", F.coalesce("query", F.lit("")).alias("query"))
+
+
+@query
+def usage_stats(spark: SparkSession, d: str) -> DataFrame:
+    return validate.usage(requests(spark, d), ["sample_source"], F.col("attempts") == 1, F.col("attempts"))
+
+
 @query
 def confidence_stats(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("confidence")
@@ -389,7 +435,7 @@ def confidence_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cjk_tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(X.tokens("text")).cast("bigint").alias("n"))
+    return table(spark, d, "documents").select("doc_id", joined(X.tokens("text"), " ").alias("tokens"))
 
 
 @query
@@ -406,7 +452,7 @@ def ner_examples(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def split_by_name(spark: SparkSession, d: str) -> DataFrame:
-    return ner.split_by_name(requests(spark, d).filter("name is not null and language is not null")).groupBy("language", "split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"))
+    return ner.split_by_name(requests(spark, d).filter("name is not null and language is not null")).select("request_id", "language", "name", "split")
 
 
 @query
@@ -502,6 +548,25 @@ def empty_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return irmetrics.empty_accuracy(asked, scored_matches(spark, d).select(F.col("request_id").alias("query")))
 
 
+@query
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """The run as it is, ordered by population, and in its ideal order."""
+    run = _run(spark, d)
+    by_population = sorted_rank(scored_matches(spark, d), ["request_id"], [F.desc("population"), F.desc("score"), F.asc("geonameid")])
+    again = by_population.select(F.col("request_id").alias("query"), F.col("geonameid").alias("id"), F.col("rank").cast("bigint").alias("rank"))
+    return irmetrics.evaluation(_qrels(spark, d), {"baseline": run, "population": again}, "baseline")
+
+
+@query
+def first_seen_queries(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.first_seen(requests(spark, d), "query", "request_id").select("query", "request_id")
+
+
+@query
+def distinct_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "query_plan").groupBy("sample_source").agg(names.distinct_tuples("name", "isolanguage").alias("n"))
+
+
 @query
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return irmetrics.latency_percentiles(table(spark, d, "events"), "value", ["event_type"])

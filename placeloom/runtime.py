@@ -30,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """Use the folder the cluster names in spark.checkpoint.dir. Only a session whose tasks run on this machine gets a folder of its own."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="placeloom-checkpoint-"))
 
 

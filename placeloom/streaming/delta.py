@@ -21,6 +21,11 @@ def upsert_stream(stream: DataFrame, path: str, key: str, schema, order: list[st
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def checkpoint_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends finished requests as JSON lines, each micro-batch once."""
+    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def place_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Parquet files of place versions that arrive in a folder."""
     schema = S.T.StructType([*S.GEONAMES.fields, S.T.StructField("loaded_at", S.T.TimestampNTZType())])

@@ -66,5 +66,21 @@ def test_clean_rows(spark, kind):
         assert (rows[0]["population"], rows[0]["latitude"], rows[0]["modification_date"]) == (0, 50.1, None)
     else:
         assert (rows[0]["alternate_name_id"], rows[0]["is_preferred_name"], rows[0]["is_historic"]) == (7, True, False)
+    odd = [place(population="1" * 25, geonameid="x7", longitude="east"), place(population="9" * 40), place(elevation="1.5")] if kind == "place" else [name(geonameid="x"), name(alternate_name_id="9" * 20)]
+    parsed = B.parse_cells(spark.createDataFrame([(i, "RU.txt" if kind == "place" else "alternateNames.txt", x, "", "") for i, x in enumerate(odd)], LINES))
+    got = {r["line_id"]: r for r in B.clean_rows(parsed, B.violations(parsed), kind).collect()}
+    if kind == "place":
+        assert got[0]["population"] == int("1" * 25) and got[0]["unparsed"] == {"geonameid": "x7", "longitude": "east"}
+        assert got[1]["population"] is None and got[1]["unparsed"] == {"population": "9" * 40} and got[2]["unparsed"] == {"elevation": "1.5"}
+    else:
+        assert got[0]["unparsed"] == {"geonameid": "x"} and got[1]["unparsed"] == {"alternate_name_id": "9" * 20}
     empty = B.parse_cells(df.limit(0))
     assert B.violations(empty).count() == 0 and B.clean_rows(empty, B.violations(empty), kind).count() == 0
+
+
+def test_own_rules(spark):
+    df = B.parse_cells(spark.createDataFrame([(1, "RU.txt", place(timezone="x"), "", ""), (2, "alternateNames.txt", name(isolanguage="??"), "", "")], LINES))
+    assert [tuple(r) for r in B.violations(df, rules=[B.Rule("place", B.PLACE_COLUMNS.index("timezone"), 9, "zone", r"\A.*/.*\z")]).collect()] == [(1, "zone")]
+    assert B.violations(df, rules=[]).count() == 0
+    with pytest.raises(ValueError):
+        B.violations(df, rules=B.RULES * B.MAX_RULES)

@@ -1,3 +1,4 @@
+import json
 import zipfile
 
 import pytest
@@ -74,9 +75,49 @@ def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("RU", "01", "x")], S.ADMIN1)
     D.write_table(df, path, "build-1")
     back = D.read_table(spark, path, S.ADMIN1)
-    assert rows(back) == rows(df) and D.build_id(spark.read.parquet(path)) == "build-1"
+    assert rows(back) == rows(df) and D.build_id(D.read_table(spark, path)) == "build-1"
     D.write_table(back.union(back), path)  # over its own input
-    assert spark.read.parquet(path).count() == 2
+    assert D.read_table(spark, path).count() == 2 and back.count() == 1  # a reader of the version before goes on
+    with pytest.raises(Exception):
+        D.write_table(df.select(F.raise_error(F.lit("lost")).alias("x")), path)
+    assert D.read_table(spark, path).count() == 2  # a write that fails leaves the table
+    D.write_table(df, path)
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v-")]) == 2
+    plain = str(tmp_path / "plain")
+    df.write.parquet(plain)
+    assert rows(D.read_table(spark, plain, S.ADMIN1)) == rows(df)
+
+
+def test_json_arrays_and_checkpoints(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i == 3 else f"Москва \"{i}\"", [1, None]) for i in range(7)], "id int, t string, x array<int>")
+    for n in (1, 3):
+        D.write_json_array(df.repartition(n), str(tmp_path / f"a{n}"))
+        files = [json.loads(f.read_text()) for f in (tmp_path / f"a{n}").glob("part-*")]
+        assert len(files) == n and sorted((r["id"], r["t"], tuple(r["x"])) for f in files for r in f) == sorted((r["id"], r["t"], tuple(r["x"])) for r in df.collect())
+    assert "Москва" in next((tmp_path / "a1").glob("part-*")).read_text()
+    assert rows(D.read_json_array(spark, str(tmp_path / "a3"), "id int, t string").select("id")) == [(i,) for i in range(7)]
+    D.write_json_array(df.limit(0).coalesce(1), str(tmp_path / "none"))
+    assert D.read_json_array(spark, str(tmp_path / "none"), "id int").count() == 0
+    for i in range(2):
+        D.append_checkpoint(spark.createDataFrame([(i, "q")], "request_id bigint, query string"), str(tmp_path / "ck"))
+    assert rows(D.read_checkpoint(spark, str(tmp_path / "ck")).select("request_id")) == [(0,), (1,)]
+
+
+def test_load_all_keeps_the_last(spark, tmp_path):
+    line = lambda i, name, at: "\t".join([str(i), name, name, *LINE[3:14], str(at), *LINE[15:]])
+    for f, members in {"a": ["RU.txt", "US.txt"], "b": ["TR.txt"]}.items():
+        with zipfile.ZipFile(tmp_path / f"{f}.zip", "w") as z:
+            for m in members:
+                z.writestr(m, "\n".join(line(i, f"{f}{m}", k) for k, i in enumerate([1, 2, 1] if m == "RU.txt" else [1] if m == "US.txt" else [2, 3])))
+    names = [["9", "1", "ru", "old", "", "", "", "", "", ""], ["9", "1", "ru", "new", "", "", "", "", "", ""], ["8", "77", "ru", "lost", "", "", "", "", "", ""]]
+    (tmp_path / "names").mkdir()
+    with zipfile.ZipFile(tmp_path / "names" / "n.zip", "w") as z:
+        z.writestr("alternateNames.txt", "\n".join("\t".join(c) for c in names))
+    out = str(tmp_path / "staged")
+    for _ in range(2):  # the second load merges into the first
+        D.stage_all(spark, f"{tmp_path}/*.zip", f"{tmp_path}/names/*.zip", out)
+        assert rows(D.read_table(spark, f"{out}/geonames").select("geonameid", "name", "population")) == [(1, "aUS.txt", 0), (2, "bTR.txt", 0), (3, "bTR.txt", 1)]
+        assert rows(D.read_table(spark, f"{out}/alternate_names").select("alternate_name_id", "alternate_name")) == [(9, "new")]
 
 
 def test_checkpoint_shapes(spark, tmp_path):
@@ -96,3 +137,13 @@ def test_stream_upsert(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         upsert_stream(place_stream(spark, inbox), path, "geonameid", S.GEONAMES, ["loaded_at"], str(tmp_path / "ck")).awaitTermination()
         assert [(r["geonameid"], r["name"], r["population"]) for r in D.read_table(spark, path, S.GEONAMES).collect()] == [(1, "b", 9)]
+
+
+def test_checkpoint_stream(spark, tmp_path):
+    from placeloom.streaming.delta import checkpoint_stream
+
+    inbox, path = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(2):
+        spark.createDataFrame([(i, "q")], "request_id bigint, query string").write.mode("append").parquet(inbox)
+        checkpoint_stream(spark.readStream.schema("request_id bigint, query string").parquet(inbox), path, str(tmp_path / "ck")).awaitTermination()
+    assert rows(D.read_checkpoint(spark, path).select("request_id", "query")) == [(0, "q"), (1, "q")]

@@ -43,8 +43,9 @@ CASES = [
 
 
 def test_match_features(spark):
-    df = spark.createDataFrame([(*c, i * 10 - 20, 1.5, float(i)) for i, c in enumerate(CASES)], PAIRS)
-    got = {r["retriever_rank"]: r for r in X.build_features(df, LOOKUP).collect()}
+    df = spark.createDataFrame([(*c, i * 10 - 20, 1.5, float(i)) for i, c in enumerate(CASES)], PAIRS).withColumns({"request_id": F.col("retriever_rank").cast("int"), "geonameid": F.col("retriever_rank").cast("int")})
+    asked, told = df.select("request_id", "city_entities", "country_entities", "admin1_entities"), df.select("geonameid", "document")
+    got = {r["retriever_rank"]: r for r in X.build_features(df.select("request_id", "geonameid", "population", "retriever_rank"), asked, told, LOOKUP).collect()}
     assert len(got) == len(CASES)
     for i, c in enumerate(CASES):
         assert tuple(got[float(i)][n] for n in X.MATCH_FEATURES) == pytest.approx(brute(*c)), c
@@ -63,6 +64,10 @@ def test_pairs_and_split(spark):
     desc = spark.createDataFrame([(7, "Van"), (9, "Van | W")], "geonameid bigint, description string")
     got = sorted((r["request_id"], r["geonameid"], r["retriever_rank"], r["label"]) for r in pairs.build_pairs(results, asked, desc, LOOKUP).collect())
     assert got == [(1, 7, 0.0, 0), (1, 9, 2.0, 1), (2, 7, 0.0, 0)]  # a gap where a description lacks
+    shown = {(r["request_id"], r["geonameid"]): r["document"] for r in pairs.with_documents(results, desc).collect()}
+    assert shown == {(1, 7): "Van", (1, 8): "", (1, 9): "Van | W", (2, 7): "Van"}
+    seen = pairs.first_seen(spark.createDataFrame([(3, "a"), (1, "b"), (2, "a"), (4, None)], "i int, q string"), "q", "i")
+    assert sorted((r["i"], r["q"]) for r in seen.collect()) == [(1, "b"), (2, "a"), (4, None)]
     many = spark.range(4000).select(F.concat(F.lit("q"), (F.col("id") % 2000).cast("string")).alias("query"))
     split = pairs.split_by_query(many)
     assert split.groupBy("query").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0

@@ -72,6 +72,11 @@ def _tables() -> tuple[dict[int, str], dict[tuple[str, str], str], dict[str, str
     return plain, swap, proto
 
 
+def look_alikes() -> dict[tuple[str, str], str]:
+    """(letter, script) -> the letter of that script that looks the same."""
+    return _tables()[1]
+
+
 def plain_form(text: str) -> str:
     """Step 1 on one text."""
     if not text.isascii() or any(c < " " or c == "\x7f" for c in text):

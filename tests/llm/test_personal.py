@@ -51,6 +51,28 @@ def test_found(text, want, book):
     assert found(text, book) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("jоhn@example.org, j.smith [at] exаmple.org and s @ mаil.x-poѕt.test", [("jоhn@example.org", "email"), ("j.smith [at] exаmple.org", "email"), ("s @ mаil.x-poѕt.test", "email")]),
+        ("請寫信到jоhn@example.org。", [("jоhn@example.org", "email")]),
+        ("почта@x.test кот@пример.рф", []),
+        ("john AT example DOT com or john dot smith at mail dot example dot org", [("john AT example DOT com", "email"), ("john dot smith at mail dot example dot org", "email")]),
+        ("Meet at noon. Dot matrix at the station dot", []),
+        ("0l23 456 7890 and 8 (45О) 019-4853", [("0l23 456 7890", "phone"), ("8 (45О) 019-4853", "phone")]),
+        ("Room 12 O 34, 2O24-01-01, lO1, Oslo 1234567", []),
+        ("her passport number is 512345678; call me at 555-0199", [("512345678", "id_number"), ("555-0199", "phone")]),
+        ("Ask the guide: Bremin Quux knows", [("Bremin Quux", "person")]),
+        ("the well\nZorblatt Ashasby\n5 Mill Road", [("Zorblatt Ashasby", "person"), ("5 Mill Road", "address")]),
+        ("Bremin Quux sells bread. Zorblatt Ashasby too", []),
+        ("12 Martin Luther King Boulevard", [("12 Martin Luther King Boulevard", "address")]),
+        ("路" + "漢" * 60 + "路16號", [("路" + "漢" * 60 + "路16號", "address")]),
+    ],
+)
+def test_disguises_and_general_signs(text, want, book):
+    assert found(text, book) == want
+
+
 def test_redaction_keeps_the_rest(book):
     text = "Ask​ Bre​min Ashasby\n(q (at) z.invalid)  🚂"
     assert P.redact(text, P.detect(text, book)) == "Ask​ [PERSON]\n([EMAIL])  🚂"

@@ -8,8 +8,9 @@ Slips are found by an edit-distance segment join: an evaluation string is cut in
 between them, so that no slip, a swap included, can touch two segments; at least one segment then occurs unchanged in the
 training string, at a position that differs by no more than the slips on its left and on its right allow. Training
 strings give their substrings at these positions, only for lengths that evaluation strings of the same place have. One
-word more or less is found by the strings without one word, a moved word by the sorted words. Candidates are verified by
-banded dynamic programming.
+word more or less is found by the strings without one word, a moved word by the sorted words. All of these are keys of
+8 bytes that hold the place; keys and numbers of texts alone are joined, and the texts are fetched for the candidates,
+which are verified by banded dynamic programming.
 
 Defined cases: a place is the set of geonameids, else the names between the commas of name; records with neither are
 compared with each other only; null and blank queries and records without a split are no case; repeated rows count once;
@@ -25,16 +26,17 @@ from pyspark.sql import types as T
 
 from placeloom.runtime import collation_free_blank, cut
 
-#: Slips allowed from these lengths (code points without blanks) on.
+#: Slips allowed from these lengths (code points without blanks) on: the usual values, a parameter of the functions.
 SLIPS = ((4, 1), (8, 2), (12, 3))
+Steps = tuple[tuple[int, int], ...]
 
 
-def slips(n: int) -> int:
-    return max([k for least, k in SLIPS if n >= least], default=0)
+def slips(n: int, steps: Steps = SLIPS) -> int:
+    return max([k for least, k in steps if n >= least], default=0)
 
 
-def _slips_sql(n: str) -> str:
-    return "CASE " + " ".join(f"WHEN {n} >= {least} THEN {k}" for least, k in reversed(SLIPS)) + " ELSE 0 END"
+def _slips_sql(n: str, steps: Steps) -> str:
+    return "CASE " + " ".join(f"WHEN {n} >= {least} THEN {k}" for least, k in sorted(steps, reverse=True)) + " ELSE 0 END"
 
 
 def folded(c: Column) -> Column:
@@ -87,36 +89,51 @@ def one_moved(a: list[str], b: list[str]) -> bool:
 
 
 @F.pandas_udf(T.BooleanType())
-def _slipped(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within(x, y, slips(len(x))) for x, y in zip(a, b)], dtype=bool)
+def _slipped(a: pd.Series, b: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([x is not None and within(x, y, n) for x, y, n in zip(a, b, k)], dtype=bool)
 
 
 @F.pandas_udf(T.BooleanType())
 def _moved(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([one_moved(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([x is not None and one_moved(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype=bool)
 
 
-def _without_one(words: Column) -> Column:
-    """The words joined without each one in turn, not empty."""
-    n = F.size(words)
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(words, F.lit(1), i - 1), ""), F.array_join(F.slice(words, i + 1, n), "")))
-    return F.when(n > 1, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+#: The words of q joined without the i-th, as an expression in i.
+_WITHOUT = "concat(array_join(slice(words, 1, i - 1), ''), array_join(slice(words, i + 1, size(words)), ''))"
 
 
-#: Segments of evaluation strings of length n: k + 1 segments, one free character between neighbours.
-_SEGMENTS = f"""
-transform(sequence(1, ({_slips_sql("n")}) + 1), i -> struct(
-  n AS n, i AS i, ({_slips_sql("n")}) AS k,
-  CAST((i - 1) * (((n - ({_slips_sql("n")})) div (({_slips_sql("n")}) + 1)) + 1) + greatest(0, i - 1 - (({_slips_sql("n")}) + 1 - ((n - ({_slips_sql("n")})) % (({_slips_sql("n")}) + 1)))) AS INT) AS p,
-  CAST((n - ({_slips_sql("n")})) div (({_slips_sql("n")}) + 1) + IF(i > ({_slips_sql("n")}) + 1 - ((n - ({_slips_sql("n")})) % (({_slips_sql("n")}) + 1)), 1, 0) AS INT) AS l))
-"""
+def _shortened(tag: str) -> str:
+    """Keys of the text without each of its words in turn, where a text of the other side has that length; one string at a time."""
+    return f"""IF(size(words) > 1, transform(filter(sequence(1, size(words)), i -> array_contains(lengths, m - length(element_at(words, i)))), i -> xxhash64(place, '{tag}', {_WITHOUT})), array())"""
+
+
+def _one_more(words: str, flat: str, other: str) -> str:
+    """Whether a text is the other one and a word; only positions where the lengths fit are tried."""
+    without = _WITHOUT.replace("words", words)
+    return f"(size({words}) > 1 AND exists(sequence(1, size({words})), i -> length({flat}) - length(element_at({words}, i)) = length({other}) AND {without} = {other}))"
+
+
+def _segments(steps: Steps, n: str) -> str:
+    """Segments of evaluation strings of length n: k + 1 segments, one free character between neighbours."""
+    k = f"({_slips_sql(n, steps)})"
+    size, rest = f"(({n} - {k}) div ({k} + 1))", f"(({n} - {k}) % ({k} + 1))"
+    return f"""transform(sequence(1, {k} + 1), i -> struct({n} AS n, i AS i, {k} AS k,
+      CAST((i - 1) * ({size} + 1) + greatest(0, i - 1 - ({k} + 1 - {rest})) AS INT) AS p, CAST({size} + IF(i > {k} + 1 - {rest}, 1, 0) AS INT) AS l))"""
+
+
+def _evaluation_keys(steps: Steps) -> str:
+    own = f"transform(filter({_segments(steps, 'm')}, x -> x.k > 0), x -> xxhash64(place, x.n, x.i, substring(flat, x.p + 1, x.l)))"
+    return f"array_distinct(concat({own}, array(xxhash64(place, 'full', flat), xxhash64(place, 'more', flat), xxhash64(place, 'bag', array_sort(words))), {_shortened('less')}))"
 
-#: Keys of a training string of length m at the allowed shifts s: at most i - 1 slips lie left of segment i, k + 1 - i right.
-_SUBSTRINGS = """
-flatten(transform(filter(segments, x -> abs(m - x.n) <= x.k AND x.k > 0), x -> transform(
-  filter(sequence(1 - x.i, x.i - 1), s -> s BETWEEN m - x.n - (x.k + 1 - x.i) AND m - x.n + (x.k + 1 - x.i) AND x.p + s >= 0 AND x.p + s + x.l <= m),
-  s -> xxhash64(place, x.n, x.i, substring(flat, x.p + s + 1, x.l)))))
-"""
+
+def _training_keys(steps: Steps) -> str:
+    """Keys of a training string of length m at the allowed shifts s: at most i - 1 slips lie left of segment i, k + 1 - i right."""
+    k = _slips_sql("n", steps)
+    near = f"filter(lengths, n -> abs(m - n) <= ({k}) AND ({k}) > 0)"
+    own = f"""flatten(transform(flatten(transform({near}, n -> {_segments(steps, 'n')})), x -> transform(
+      filter(sequence(1 - x.i, x.i - 1), s -> s BETWEEN m - x.n - (x.k + 1 - x.i) AND m - x.n + (x.k + 1 - x.i) AND x.p + s >= 0 AND x.p + s + x.l <= m),
+      s -> xxhash64(place, x.n, x.i, substring(flat, x.p + s + 1, x.l)))))"""
+    return f"array_distinct(concat({own}, array(xxhash64(place, 'full', flat), xxhash64(place, 'less', flat), xxhash64(place, 'bag', array_sort(words))), {_shortened('more')}))"
 
 
 def _texts(df: DataFrame, key: str, query: str, name: str, ids: str, split: str) -> DataFrame:
@@ -125,55 +142,69 @@ def _texts(df: DataFrame, key: str, query: str, name: str, ids: str, split: str)
     return rows.filter("q is not null and train is not null and id is not null").distinct()
 
 
-def matching_texts(texts: DataFrame) -> DataFrame:
+def matching_texts(texts: DataFrame, steps: Steps = SLIPS) -> DataFrame:
     """Distinct (place, eq, tq): folded queries of an evaluation and of a training record that are a case.
 
     ``texts`` has the columns place, q and train.
     """
-    flat = F.regexp_replace("q", " ", "")
-    held_out = cut(texts.filter("not train").select("place", "q").distinct().select("*", flat.alias("flat")).withColumn("n", F.length("flat")))
-    segments = held_out.select("place", "n").distinct().withColumn("seg", F.explode(F.expr(_SEGMENTS))).groupBy("place").agg(F.collect_list("seg").alias("segments"), F.array_distinct(F.collect_list("n")).alias("lengths"))
-    train = texts.filter("train").select("place", "q").distinct().join(segments, "place").select("*", flat.alias("flat")).withColumn("m", F.length("flat"))
-    # only hashes of substrings and shortened strings are kept; candidates are checked on the texts
-    useful = F.filter(_without_one(F.split("q", " ")), lambda w: F.exists(F.col("lengths"), lambda n: n == F.length(w)))
-    train = cut(train.select("place", "q", "flat", F.expr(_SUBSTRINGS).alias("keys"), F.transform(useful, lambda w: F.xxhash64(F.lit("more"), w)).alias("short")))
-
-    e = held_out.select("place", F.col("q").alias("eq"), F.col("flat").alias("ef"), "n")
-    t = train.select("place", F.col("q").alias("tq"), F.col("flat").alias("tf"), "keys", "short")
-
-    own = F.expr("transform(filter(segments, x -> x.k > 0), x -> xxhash64(place, x.n, x.i, substring(ef, x.p + 1, x.l)))")
-    e_seg = e.withColumn("segments", F.expr(_SEGMENTS)).select("place", "eq", "ef", F.explode(own).alias("key"))
-    t_seg = t.select("place", "tq", "tf", F.explode("keys").alias("key"))
-    near = e_seg.join(t_seg, ["place", "key"]).select("place", "eq", "ef", "tq", "tf").filter(F.col("ef") != F.col("tf"))
-    # a swap is two plain edits at most, so the JVM's bounded distance discards most candidates before the exact one
-    near = near.filter(f"levenshtein(ef, tf, 2 * ({_slips_sql('length(ef)')})) >= 0").distinct().filter(_slipped("ef", "tf")).select("place", "eq", "tq")
-
-    # one word more or less, and equal without blanks, are equalities of strings
-    full = lambda c: F.array(F.xxhash64(F.lit("full"), c))
-    e_keys = F.concat(full(F.col("ef")), F.array(F.xxhash64(F.lit("more"), F.col("ef"))), F.transform(_without_one(F.split("eq", " ")), lambda w: F.xxhash64(F.lit("less"), w)))
-    t_keys = F.concat(full(F.col("tf")), F.array(F.xxhash64(F.lit("less"), F.col("tf"))), F.col("short"))
-    word = e.select("place", "eq", "ef", F.explode(e_keys).alias("key")).join(t.select("place", "tq", "tf", F.explode(t_keys).alias("key")), ["place", "key"])
-    one = F.array_contains(_without_one(F.split("tq", " ")), F.col("ef")) | F.array_contains(_without_one(F.split("eq", " ")), F.col("tf"))
-    word = word.filter((F.col("ef") == F.col("tf")) | one).select("place", "eq", "tq")
-
-    bag = F.xxhash64(F.array_join(F.array_sort(F.split("q", " ")), " "))
-    e_bag, t_bag = held_out.filter("instr(q, ' ') > 0").select("place", F.col("q").alias("eq"), bag.alias("key")), train.filter("instr(q, ' ') > 0").select("place", F.col("q").alias("tq"), bag.alias("key"))
-    moved = e_bag.join(t_bag, ["place", "key"]).filter("eq <> tq").filter(_moved("eq", "tq")).select("place", "eq", "tq")
-    return near.unionByName(word).unionByName(moved).distinct()
-
-
-def cross_split_pairs(df: DataFrame, key: str = "request_id", query: str = "query", name: str = "name", ids: str = "geonameid", split: str = "split") -> DataFrame:
-    """Distinct (eval_id, train_id) of records that are a case."""
+    # texts are numbered and kept, as numbers hold for one run only
+    own = cut(texts.select("place", "q", "train").distinct().withColumn("number", F.monotonically_increasing_id()))
+    full = own.select("*", F.regexp_replace("q", " ", "").alias("flat")).withColumn("m", F.length("flat"))
+    lengths = full.groupBy("place").agg(F.collect_set(F.when(~F.col("train"), F.col("m"))).alias("held"), F.collect_set(F.when(F.col("train"), F.col("m"))).alias("seen")).filter("size(held) > 0 and size(seen) > 0")
+    met = full.join(lengths, "place").withColumn("words", F.split("q", " "))
+    e = met.filter("not train").withColumn("lengths", F.col("seen")).select(F.col("number").alias("en"), F.explode(F.expr(_evaluation_keys(steps))).alias("key"))
+    t = met.filter("train").withColumn("lengths", F.col("held")).select(F.col("number").alias("tn"), F.explode(F.expr(_training_keys(steps))).alias("key"))
+    candidates = e.join(t, "key").select("en", "tn").distinct()
+    et = own.filter("not train").select(F.col("number").alias("en"), F.col("place").alias("ep"), F.col("q").alias("eq"))
+    tt = own.filter("train").select(F.col("number").alias("tn"), "place", F.col("q").alias("tq"))
+    both = candidates.join(et, "en").join(tt, "tn").filter("ep = place").select("place", "eq", "tq", F.regexp_replace("eq", " ", "").alias("ef"), F.regexp_replace("tq", " ", "").alias("tf"), F.split("eq", " ").alias("ew"), F.split("tq", " ").alias("tw"))
+    # decided in the JVM: equal without blanks, or one word more or less
+    sure = F.expr(f"ef = tf OR {_one_more('tw', 'tf', 'ef')} OR {_one_more('ew', 'ef', 'tf')}")
+    k = F.expr(f"CAST({_slips_sql('length(ef)', steps)} AS INT)")
+    # a swap is two plain edits at most, so the JVM's bounded distance discards most others before the exact one
+    judged = both.select("place", "eq", "tq", "ef", "tf", sure.alias("sure"), k.alias("k"), F.expr("size(ew) = size(tw) AND array_sort(ew) = array_sort(tw)").alias("same_words"))
+    judged = judged.withColumn("close", F.expr("NOT sure AND k > 0 AND levenshtein(ef, tf, 2 * k) >= 0")).filter("sure or close or same_words")
+    exact = judged.select("place", "eq", "tq", "sure", _slipped(F.when(F.col("close"), F.col("ef")), "tf", "k").alias("slipped"), _moved(F.when(F.col("same_words") & ~F.col("sure"), F.col("eq")), "tq").alias("moved"))
+    return exact.filter("sure or slipped or moved").select("place", "eq", "tq")
+
+
+def _cases(df: DataFrame, key: str, query: str, name: str, ids: str, split: str, steps: Steps) -> tuple[DataFrame, DataFrame]:
     texts = cut(_texts(df, key, query, name, ids, split))
-    pairs = matching_texts(texts)
+    return texts, matching_texts(texts, steps)
+
+
+def cross_split_pairs(df: DataFrame, key: str = "request_id", query: str = "query", name: str = "name", ids: str = "geonameid", split: str = "split", steps: Steps = SLIPS) -> DataFrame:
+    """Distinct (eval_id, train_id) of records that are a case. ``cross_split_classes`` gives the same without expanding repeated texts."""
+    texts, pairs = _cases(df, key, query, name, ids, split, steps)
     e = texts.filter("not train").select("place", F.col("q").alias("eq"), F.col("id").alias("eval_id"))
     t = texts.filter("train").select("place", F.col("q").alias("tq"), F.col("id").alias("train_id"))
     return pairs.join(e, ["place", "eq"]).join(t, ["place", "tq"]).select("eval_id", "train_id").distinct()
 
 
-def overlap_report(df: DataFrame, source: str = "sample_source", **cols: str) -> DataFrame:
-    """For each evaluation split and source: records, records with a case, and pairs."""
-    key, split = cols.get("key", "request_id"), cols.get("split", "split")
-    pairs = cross_split_pairs(df, **cols).groupBy("eval_id").agg(F.count(F.lit(1)).alias("pairs"))
+def cross_split_classes(df: DataFrame, key: str = "request_id", query: str = "query", name: str = "name", ids: str = "geonameid", split: str = "split", steps: Steps = SLIPS) -> tuple[DataFrame, DataFrame]:
+    """(pairs of texts, members): place, eq, tq of texts that are a case, and id, place, q, train of every record."""
+    texts, pairs = _cases(df, key, query, name, ids, split, steps)
+    return pairs, texts.select("id", "place", "q", "train")
+
+
+def overlap_report(df: DataFrame, source: str = "sample_source", key: str = "request_id", query: str = "query", name: str = "name", ids: str = "geonameid", split: str = "split", steps: Steps = SLIPS) -> DataFrame:
+    """For each evaluation split and source: records, records with a case, and pairs.
+
+    Pairs are counted by classes of equal texts, sizes multiplied; only records that have several texts are expanded, as
+    a pair of them may be a case by more than one text and counts once.
+    """
+    texts, pairs = _cases(df, key, query, name, ids, split, steps)
+    pairs = cut(pairs)
+    several = texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    one, many = texts.join(several, "id", "left_anti"), texts.join(several, "id", "left_semi")
+    side = lambda x, train, q, i: x.filter(F.col("train") == train).select("place", F.col("q").alias(q), F.col("id").alias(i))
+    sizes = side(one, True, "tq", "id").groupBy("place", "tq").agg(F.count(F.lit(1)).alias("n"))
+    per_text = pairs.join(sizes, ["place", "tq"]).groupBy("place", "eq").agg(F.sum("n").alias("pairs"))
+    counted = side(one, False, "eq", "eval_id").join(per_text, ["place", "eq"]).select("eval_id", "pairs")
+    all_e, all_t = side(texts, False, "eq", "eval_id"), side(texts, True, "tq", "train_id")
+    a = pairs.join(side(many, False, "eq", "eval_id"), ["place", "eq"]).join(all_t, ["place", "tq"]).select("eval_id", "train_id")
+    b = pairs.join(side(many, True, "tq", "train_id"), ["place", "tq"]).join(all_e, ["place", "eq"]).select("eval_id", "train_id")
+    spread = a.unionByName(b).distinct().groupBy("eval_id").agg(F.count(F.lit(1)).alias("pairs"))
+    per = counted.unionByName(spread).groupBy("eval_id").agg(F.sum("pairs").alias("pairs"))
     rows = df.select(F.col(key).alias("eval_id"), F.lower(F.trim(F.col(split))).alias("split"), F.col(source).alias("source")).filter("split <> 'train'").distinct()
-    return rows.join(pairs, "eval_id", "left").groupBy("split", "source").agg(F.countDistinct("eval_id").alias("records"), F.countDistinct(F.when(F.col("pairs") > 0, F.col("eval_id"))).alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    return rows.join(per, "eval_id", "left").groupBy("split", "source").agg(F.countDistinct("eval_id").alias("records"), F.countDistinct(F.when(F.col("pairs") > 0, F.col("eval_id"))).alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))

@@ -85,3 +85,29 @@ def test_report_and_empty(spark):
 def test_very_long_queries(spark):
     q = "word " * 3000
     assert pairs(spark, [(1, q, "X", [7], "train"), (2, q[:-3], "X", [7], "test")]) == {(2, 1)}
+
+
+def test_report_counts_the_pairs(spark):
+    rng = random.Random(6)
+    texts = ["abc def ghi", "abc def ghj", "other words here", "other words"]
+    # some records come with several texts, in one split or in both
+    rows = [(rng.randint(1, 40), rng.choice(texts), "X", [7], rng.choice(["train", "test", "validation"])) for _ in range(90)]
+    df = frame(spark, rows)
+    found = {tuple(r) for r in O.cross_split_pairs(df).collect()}
+    want = {}
+    for s in ("test", "validation"):
+        ids = {i for i, _, _, _, x in rows if x == s}
+        want[s] = (len(ids), len({e for e, _ in found if e in ids}), sum(e in ids for e, _ in found))
+    assert {r["split"]: (r["records"], r["overlapping"], r["pairs"]) for r in O.overlap_report(df).collect()} == want
+    classes, members = O.cross_split_classes(df)
+    rows_of = {}
+    for r in members.collect():
+        rows_of.setdefault((r["place"], r["q"], r["train"]), set()).add(r["id"])
+    assert {(e, t) for r in classes.collect() for e in rows_of[r["place"], r["eq"], False] for t in rows_of[r["place"], r["tq"], True]} == found
+
+
+def test_steps_are_a_parameter(spark):
+    rows = [(1, "abcdefgh", "X", [7], "train"), (2, "abcdefxx", "X", [7], "test"), (3, "abcdefgx", "X", [7], "test")]
+    df = frame(spark, rows)
+    assert {tuple(r) for r in O.cross_split_pairs(df).collect()} == {(2, 1), (3, 1)}
+    assert {tuple(r) for r in O.cross_split_pairs(df, steps=((4, 1),)).collect()} == {(3, 1)}

@@ -26,6 +26,12 @@ def p1_names(spark: SparkSession, d: str) -> DataFrame:
     return _named(spark, d)
 
 
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    from placeloom.llm.lookalike import repair_report
+
+    return repair_report(_named(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from placeloom.llm.strata import quota_report
 
@@ -110,7 +116,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal_information(table(spark, d, "documents"), table(spark, d, "person_names")).select("doc_id", "redacted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_report, p2_sample, p3_found, p3_report, p4_found, p5_found, p5_splits, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_names, p1_report, p2_found, p2_report, p2_sample, p3_found, p3_report, p4_found, p5_found, p5_splits, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_redacted)}
 
 _STRATA = """
 WITH size AS (SELECT count(DISTINCT request_id) // 5 AS size FROM query_plan),

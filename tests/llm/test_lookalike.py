@@ -53,3 +53,31 @@ def test_links_empty_tables_and_extra_columns(spark):
 def test_long_text(spark):
     got = run(spark, [(1, 1, "a​" * 50_000), (1, 2, "a" * 50_000)])
     assert got[1, 1]["form"] == got[1, 2]["form"] == "a" * 50_000
+
+
+def test_repair_decides(spark, monkeypatch):
+    # Cyrillic with one Latin letter: only the vocabulary shows that it is Cyrillic, as most of its letters have no Latin twin
+    rows = [(1, 1, "Москва"), (1, 2, "Мoсква"), (2, 1, "Мoсквич")]
+    named = run(spark, rows)
+    assert named[1, 2]["form"] == named[1, 2]["look"] == "Москва" and named[2, 1]["form"] == "Мoсквич" != named[2, 1]["look"]
+    df = spark.createDataFrame(rows, "geonameid bigint, name_id bigint, name string")
+    assert L.same_looking(L.consistent_names(df)).count() == 1
+    table = L.look_alikes() | {("о", "Latin"): "о", ("o", "Cyrillic"): "x"}  # a table without the pair repairs nothing
+    assert L.same_looking(L.consistent_names(df, swap=table)).count() == 0
+    assert {r["step"]: r["names"] for r in L.repair_report(L.consistent_names(df)).collect()} == {"kept": 1, "rewritten": 1, "keyed": 1}
+
+
+def test_public_table(spark):
+    table = L.public_table(spark)
+    assert L.look_alikes().items() <= table.items()
+    for a, b in ("ρp", "νv", "υu", "ԚQ", "ԜW", "ՕO", "ᎪA", "օo"):
+        assert table[a, "Latin"] == b
+    assert all(a not in "ιг" and (a, b) != ("ı", "i") for (a, _), b in table.items())
+    got = run(spark, [(1, 1, "Pavup"), (1, 2, "ρavup"), (1, 3, "Pavυp"), (2, 1, "Paris"), (2, 2, "\U0001d40faris"), (3, 1, "邊\U000e0100界"), (3, 2, "邊界"), (4, 1, "xо"), (5, 1, "pavup")])
+    assert got[1, 2]["look"] == "pavup" and got[1, 3]["form"] == "Pavup" and got[2, 2]["form"] == "Paris" and got[3, 1]["form"] == "邊界"
+
+
+def test_classes(spark):
+    named = L.consistent_names(spark.createDataFrame([(1, 1, "A b"), (1, 2, "A  b"), (1, 3, "Ａ b"), (1, 4, "A b"), (1, 5, None)], "geonameid bigint, name_id bigint, name string"))
+    classes, members = L.look_classes(named)
+    assert [tuple(r) for r in classes.collect()] == [(1, "A b", 4, 3)] and members.count() == 4

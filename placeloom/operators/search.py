@@ -40,16 +40,18 @@ def cut(candidates: DataFrame, places: DataFrame, k: int, key: str = "q") -> Dat
     return full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search_batch(queries: DataFrame, named: DataFrame, places: DataFrame, k: int = 50, key: str = "q", rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def search_batch(queries: DataFrame, named: DataFrame, places: DataFrame, k: int = 50, key: str = "q", rerank: Callable[[DataFrame], DataFrame] | None = None, index: DataFrame | None = None) -> DataFrame:
     """(key, rank, geonameid, score, hydrated columns) for a table of query texts.
 
+    ``index`` is the stored forward index of the names of ``named``; without one it is made for this call.
+
     ``rerank`` maps the result to one with a column ``rerank_score``; it changes the order of a query's places, never the
     set. Ties of that score go to the larger population, then the smaller id.
     """
     if not 1 <= k <= MOST_RESULTS:
         raise ValueError(f"k must be from 1 to {MOST_RESULTS}")
     asked = queries.select(key).filter(strip(key) != "").distinct()
-    ranked = bm25.top_names(asked, named.select("name"), k, key)
+    ranked = bm25.top_names(asked, bm25.forward_index(named) if index is None else index, k, key)
     out = cut(expand(ranked, named, key), places, k, key)
     if rerank is None:
         return out

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from placeloom import schemas as S
 from placeloom.operators import bm25, names
 from placeloom.operators.features import country_names
+from placeloom.operators.pairs import with_documents
+from placeloom.operators.search import search_batch
 from placeloom.sources.dumps import NotBuiltError, build_id, get_text, put_text, read_table, table_path, write_table
 
-FORMAT = 1
-TABLES = ("name_groups", "postings", "places", "descriptions")
+FORMAT = 2
+TABLES = ("name_groups", "index", "places", "descriptions")
 
 
 class StaleSetError(RuntimeError):
@@ -47,14 +49,14 @@ def build(places: DataFrame, alternates: DataFrame, admin1: DataFrame, path: str
     if lost:
         raise ValueError(f"names lead to places that the places table lacks, such as {[r[0] for r in lost]}")
     ident = uuid.uuid4().hex
-    made = {"name_groups": groups, "postings": bm25.postings(groups.select("name")), "places": table, "descriptions": names.descriptions(rows, admin1, country_names(spark, countries, languages))}
+    made = {"name_groups": groups, "index": bm25.forward_index(groups), "places": table, "descriptions": names.descriptions(rows, admin1, country_names(spark, countries, languages))}
     for name, df in made.items():
         write_table(df, f"{path}/{name}", ident)
     read = {name: read_table(spark, f"{path}/{name}") for name in TABLES}
     manifest = {
         "format": FORMAT, "build_id": ident, "built_at": datetime.now(UTC).isoformat(), "countries": countries, "languages": languages, "excluded_feature_codes": S.EXCLUDED_FEATURE_CODES,
         "n_documents": read["name_groups"].count(), "n_places": read["places"].count(), "n_descriptions": read["descriptions"].count(),
-        "average_length": bm25.average_length(read["name_groups"]), "sha256": {name: _digest(spark, f"{path}/{name}") for name in TABLES},
+        "sha256": {name: _digest(spark, f"{path}/{name}") for name in TABLES},
     }
     put_text(spark, f"{path}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=1))
     return manifest
@@ -76,3 +78,11 @@ def load(spark: SparkSession, path: str, countries: list[str] = S.COUNTRIES, lan
         if build_id(df) != manifest["build_id"]:
             raise StaleSetError(f"{name} is of build {build_id(df)}, not {manifest['build_id']}")
     return manifest, tables
+
+
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 50, key: str = "q", rerank=None) -> DataFrame:
+    """Results of a table of query texts over a stored set, with the descriptions of the places as ``document``."""
+    _, tables = load(spark, path)
+    named = tables["name_groups"].select("name", F.explode("places.geonameid").alias("geonameid"))
+    found = search_batch(queries, named, tables["places"], k, key, rerank, tables["index"])
+    return with_documents(found, tables["descriptions"])

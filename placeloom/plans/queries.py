@@ -249,7 +249,7 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_top_names(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.top_names(search_texts(spark, d), rows(spark, d).select("name").distinct(), TOP_K).select("q", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return bm25.top_names(search_texts(spark, d), bm25.forward_index(rows(spark, d)), TOP_K).select("q", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query

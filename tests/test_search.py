@@ -1,3 +1,4 @@
+import random
 import math
 from collections import Counter
 
@@ -43,13 +44,28 @@ def test_scores(frames):
 def test_top_names(frames, k):
     q, n = frames
     got = {}
-    for r in bm25.top_names(q, n, k).collect():
+    for r in bm25.top_names(q, bm25.forward_index(n), k).collect():
         got.setdefault(r["q"], []).append((r["rank"], r["doc"]))
     for x in QUERIES:
         want = sorted(brute(x).items(), key=lambda d: (-d[1], d[0].encode()))[:k]
         assert sorted(got[x]) == [(i + 1, d) for i, (d, _) in enumerate(want)]
 
 
+def test_top_names_in_many_cells(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choices("abç", k=rng.randint(1, 7))) + rng.choice(["", " ab", " 漢字 x"]) for _ in range(400)] + ["", " "]
+    asked = list({"".join(rng.choices("abç ", k=rng.randint(1, 9))) for _ in range(60)})
+    q, n = spark.createDataFrame([(x,) for x in asked], "q string"), spark.createDataFrame([(x,) for x in names], "name string")
+    few = {tuple(r) for r in bm25.top_names(q, bm25.forward_index(n), 7).collect()}
+    many = {tuple(r) for r in bm25.top_names(q, bm25.forward_index(n), 7, shard=50, block=9).collect()}
+    full = {}
+    for r in bm25.scores(q, bm25.postings(n), bm25.average_length(n)).collect():
+        full.setdefault(r["q"], []).append((-r["score"], r["doc"].encode()))
+    want = {(x, d.decode(), -s, k + 1) for x, found in full.items() for k, (s, d) in enumerate(sorted(found)[:7])}
+    assert few == many and {r for r in few if r[2] > 0} == want
+    assert bm25.top_names(q, bm25.forward_index(n.limit(0)), 3).count() == 0 and bm25.top_names(q.limit(0), bm25.forward_index(n), 3).count() == 0
+
+
 def test_a_repeated_term_counts_twice(frames):
     assert brute("york york")["York"] == 2 * brute("york")["York"]
 
@@ -107,6 +123,8 @@ def test_artifacts(spark, tmp_path):
     assert (made["n_documents"], made["n_places"], made["n_descriptions"]) == (2, 1, 1)
     manifest, tables = A.load(spark, path, countries=["CN", "US", "TR", "RU"])
     assert manifest == made and tables["places"].count() == 1
+    asked = spark.createDataFrame([("köy",), (" ",)], "q string")
+    assert [(r["q"], r["geonameid"], r["document"]) for r in A.search(spark, path, asked, 3).collect()] == [("köy", 1, "Koy | Köy\nTurkey\nAdana")]
     with pytest.raises(A.StaleSetError):
         A.load(spark, path, countries=["RU"])
     (tmp_path / "set" / "manifest.json").write_text(json.dumps(made | {"build_id": "other"}))

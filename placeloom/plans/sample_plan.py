@@ -1,7 +1,9 @@
 """The plan of requests: which names are asked about, for which places, per kind of request and group.
 
-Built set-based: pools are flags on one frame of names; a bucket's picks are ranks in its group; targets are ranks in a
-name. Only the exclusion of names taken by an earlier group is sequential, and that goes over a few dozen groups.
+Built set-based: pools are flags on one frame of names; a bucket's picks are ranks in its group, taken for all buckets in
+one pass; targets are ranks in a name. Only the exclusion of names taken by an earlier group is sequential. It needs no
+more of a group than its first, last and drawn few names, as many as the quotas of all groups before it can take away, so
+it goes over quotas times groups rows.
 
 Random draws are keyed hashes, so the same input gives the same plan in any order and on any cluster.
 
@@ -13,10 +15,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from placeloom import schemas as S
 from placeloom.functions.text import strip
 from placeloom.operators.names import with_region
 from placeloom.runtime import cut, exact_rank
@@ -52,6 +56,7 @@ QUOTAS = {
     ("one_city", "all"): (2, 2, 2), ("multi_city", "all"): (1, 0, 1), ("city_admin1", "homonym"): (1, 0, 0), ("city_admin1", "unique"): (1, 0, 0),
     ("city_country", "homonym"): (1, 0, 1), ("city_country", "unique"): (1, 0, 0), ("city_admin1_country", "homonym"): (1, 0, 1), ("city_admin1_country", "unique"): (1, 0, 0),
 }
+# Shares of styles, and topics.
 STYLES = {"search": 0.60, "casual": 0.25, "formal": 0.12, "rich": 0.03}
 TOPICS = ["flights", "hotels", "weather", "transport", "food", "tourism", "history", "population", "relocation", "news", "education"]
 TARGETS_PER_NAME, EXTRA_MIN, EXTRA_MAX = 2, 1, 2
@@ -184,11 +189,68 @@ def limit_per_source(plan: DataFrame, n: int) -> DataFrame:
     return plan.withColumn("__rn", F.row_number().over(W.partitionBy("sample_source").orderBy("request_id"))).filter(F.col("__rn") <= n).drop("__rn")
 
 
+def _members(pools: DataFrame, quotas: dict) -> DataFrame:
+    """A row for each bucket and name that the bucket may pick: bucket, its group (isolanguage, group) and the population that ranks it."""
+    first = F.min("country_code").over(W.partitionBy("name", "isolanguage")) == F.col("country_code")
+    each = []
+    for i, kind in enumerate(KINDS):
+        if sum(quotas[kind.source, kind.pool]):
+            # a language's group ranks names: the first country's row stands for a name
+            fits = in_pool(kind) & (F.col("has_valid_region") if kind.region else F.lit(True)) & (F.lit(True) if kind.by_country else F.col("__first"))
+            each.append(F.when(fits, F.struct(F.lit(i).alias("bucket"), (F.col("country_code") if kind.by_country else F.lit("")).alias("group"), F.col("pop_in_country" if kind.by_country else "pop_anywhere").alias("pop"))))
+    return pools.withColumn("__first", first).select("name", "isolanguage", "country_code", F.inline(F.array_compact(F.array(*each))))
+
+
+def picks(pools: DataFrame, quotas: dict, seed: str, order_of_countries: list[str] = S.COUNTRIES) -> DataFrame:
+    """(source, bucket, name, isolanguage, country_code, strat_band): what each group picks, after the groups before it.
+
+    Names are taken once in a source and language. A group's first, last and drawn names are ranked without regard to
+    that, but as many more of them are kept as all groups of the source can take.
+    """
+    per_source: dict[str, int] = {}
+    n_countries = pools.select("country_code").distinct().count()
+    for kind in KINDS:
+        per_source[kind.source] = per_source.get(kind.source, 0) + sum(quotas[kind.source, kind.pool]) * (n_countries if kind.by_country else 1)
+    members = _members(pools, quotas)
+    spare = max(per_source.values(), default=0)
+    most = [max((quotas[k.source, k.pool][j] for k in KINDS), default=0) for j in range(3)]
+    order = [("pop", True), ("name", False), ("country_code", False)]
+    names = F.array(*[F.lit(f"{seed}|{k.source}:{k.pool}") for k in KINDS])
+    drawn = members.withColumn("__d", draw(F.get(names, F.col("bucket")), F.col("name"), F.col("isolanguage"), F.col("country_code")))
+    w = W.partitionBy("bucket", "isolanguage", "group")
+    first = members.withColumn("at", F.row_number().over(w.orderBy(*_sorted(order)))).filter(F.col("at") <= most[0] + spare).withColumn("list", F.lit(0))
+    last = members.withColumn("at", F.row_number().over(w.orderBy(*_sorted(order, True)))).filter(F.col("at") <= most[2] + spare).withColumn("list", F.lit(2))
+    mid = drawn.withColumn("at", F.row_number().over(w.orderBy("__d", "name", "country_code"))).filter(F.col("at") <= sum(most) + spare).drop("__d").withColumn("list", F.lit(1))
+    source = F.get(F.array(*[F.lit(k.source) for k in KINDS]), F.col("bucket"))
+    few = first.unionByName(mid).unionByName(last).withColumn("source", source)
+    quota_of = [quotas[k.source, k.pool] for k in KINDS]
+    turn = {c: i for i, c in enumerate(order_of_countries)}
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        out = []
+        pdf = pdf.assign(turn=[turn.get(g, len(turn)) for g in pdf["group"]]).sort_values(["bucket", "turn", "group", "list", "at"])
+        for (bucket, _, _), group in pdf.groupby(["bucket", "turn", "group"], sort=True):
+            lists = {i: [(n, c) for n, c in zip(x["name"], x["country_code"]) if n not in taken] for i, x in group.groupby("list")}
+            top, n_mid, low = quota_of[bucket]
+            head, tail = lists.get(0, [])[:top], lists.get(2, [])[:low]
+            ends = {n for n, _ in [*head, *tail]}
+            middle = [x for x in lists.get(1, []) if x[0] not in ends][:n_mid]
+            heads = {n for n, _ in head}
+            for band, found in zip(BANDS, (head, middle, [x for x in tail if x[0] not in heads])):
+                out += [(bucket, n, c, band) for n, c in found]
+                taken |= {n for n, _ in found}
+        got = pd.DataFrame(out, columns=["bucket", "name", "country_code", "strat_band"])
+        return got.assign(source=pdf["source"].iloc[0], isolanguage=pdf["isolanguage"].iloc[0])[["source", "bucket", "name", "isolanguage", "country_code", "strat_band"]]
+
+    # a source and language has quotas times groups rows
+    return few.select("source", "isolanguage", "bucket", "group", "list", "at", "name", "country_code").groupBy("source", "isolanguage").applyInPandas(settle, "source string, bucket int, name string, isolanguage string, country_code string, strat_band string")
+
+
 def build_sample_plan(rows: DataFrame, admin1: DataFrame, countries: DataFrame, seed: str = "42", quotas: dict | None = None) -> DataFrame:
     """The whole plan: one row per request, numbered in kind and group order.
 
-    Groups of a bucket are disjoint by (language, country), so each bucket is one set-based job; the buckets of one source
-    follow each other, as names taken by the first are excluded from the second.
+    Picks are made for all kinds at once; what they stand for is joined per kind, in one plan.
     """
     quotas = quotas or QUOTAS
     # read by every kind of request
@@ -197,29 +259,13 @@ def build_sample_plan(rows: DataFrame, admin1: DataFrame, countries: DataFrame,
     pools, gold, by_country = cut(name_pools(groups)), name_gold(rows), country_targets(groups)
     # countries times languages rows
     titles = countries.select(F.col("language").alias("isolanguage"), "country_code", "country_name")
-    taken: dict[str, DataFrame] = {}
+    chosen = cut(picks(pools, quotas, seed))
     parts = []
     for i, kind in enumerate(KINDS):
-        quota = quotas[kind.source, kind.pool]
-        if not sum(quota):
+        if not sum(quotas[kind.source, kind.pool]):
             continue
+        picked = chosen.filter(F.col("bucket") == i).drop("bucket", "source")
         pool = pools.filter(in_pool(kind))
-        if kind.region:
-            pool = pool.filter("has_valid_region")
-        group = ["isolanguage", "country_code"] if kind.by_country else ["isolanguage"]
-        rank = "pop_in_country" if kind.by_country else "pop_anywhere"
-        if not kind.by_country:
-            pool = pool.withColumn("__c", F.row_number().over(W.partitionBy("name", "isolanguage").orderBy("country_code"))).filter("__c = 1").drop("__c")
-        if kind.source in taken:
-            pool = pool.join(taken[kind.source], ["name", "isolanguage"], "left_anti")
-        order = [(rank, True), ("name", False), ("country_code", False)]
-        picked = bands(pool, group, order, quota, f"{seed}|{kind.source}:{kind.pool}", ["name", "isolanguage", "country_code"])
-        if kind.by_country:
-            # a name in two countries' groups of one source belongs to the first country
-            picked = picked.withColumn("__c", F.row_number().over(W.partitionBy("name", "isolanguage").orderBy("country_code"))).filter("__c = 1").drop("__c")
-        picked = cut(picked)  # quota times groups rows
-        mine = picked.select("name", "isolanguage")
-        taken[kind.source] = taken[kind.source].unionByName(mine) if kind.source in taken else mine
         none = F.lit("")
         if kind.source == "multi_city":
             out = multi_city(picked, pool, gold, f"{seed}|multi").select("*", none.alias("admin1_name"), none.alias("target_country_code"), none.alias("target_admin1_code"), F.col("country_code").alias("group_country"))

@@ -19,6 +19,8 @@ from placeloom.runtime import cut, exact_rank
 
 #: Part of the requests that the sample holds; the surplus drawn, in standard deviations of the count.
 FRACTION_OF, SURPLUS_SD = 5, 5.0
+#: Target strata of a sample: their quotas are broadcast.
+MAX_STRATA = 10_000
 
 
 def _category(c: str, lower: bool) -> Column:
@@ -47,6 +49,8 @@ def quota_report(plan: DataFrame, targets: DataFrame, key: str = "request_id", s
 
 def sample_to_targets(plan: DataFrame, targets: DataFrame, key: str = "request_id", strata: tuple[str, ...] = ("isolanguage", "sample_source", "pool"), lowered: str = "isolanguage", one_in: int = FRACTION_OF, seed: int = 17) -> DataFrame:
     """The sample: one row (key, strata) for each accepted request."""
+    if targets.count() > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} target strata")
     names = list(strata)
     report = quota_report(plan, targets, key, strata, lowered, one_in)
     p = F.col("quota") / F.greatest("observed", F.lit(1))
@@ -63,3 +67,14 @@ def sample_to_targets(plan: DataFrame, targets: DataFrame, key: str = "request_i
     pool = drawn.join(F.broadcast(short), names, "left_anti").unionByName(again)
     ranked = exact_rank(pool.withColumn("draw", F.col("draw")), names, [key], "rank")
     return ranked.filter("rank <= quota").select(key, *names)
+
+
+def drawn_report(plan: DataFrame, targets: DataFrame, key: str = "request_id", strata: tuple[str, ...] = ("isolanguage", "sample_source", "pool"), lowered: str = "isolanguage", one_in: int = FRACTION_OF, seed: int = 17) -> DataFrame:
+    """``quota_report`` with taken and deficit counted in the drawn sample."""
+    names = list(strata)
+    report = quota_report(plan, targets, key, strata, lowered, one_in)
+    drawn = sample_to_targets(plan, targets, key, strata, lowered, one_in, seed).groupBy(*names).agg(F.count(F.lit(1)).alias("drawn"))
+    on = [_category(c, c == lowered).eqNullSafe(F.col(f"d_{c}")) for c in names]
+    full = report.join(drawn.select(*[F.col(c).alias(f"d_{c}") for c in names], "drawn"), on, "left")
+    taken = F.coalesce("drawn", F.lit(0))
+    return full.select(*[c for c in report.columns if c not in ("taken", "deficit")], taken.alias("taken"), (F.col("quota") - taken).alias("deficit"))

@@ -55,3 +55,25 @@ def test_empty(docs, targets):
     used, report = M.mix(docs.limit(0), targets)
     assert used.count() == 0 and report.count() == 4
     assert M.shortfalls(docs.limit(0), targets).filter("short").count() == 0
+
+
+def test_lead_flight_keeps_tokens_and_probabilities():
+    x, p, rest = [900.0, 500.0, 20.0, 20.0], 0.3, 4000.0
+    runs = []
+    for s in range(4000):
+        out, common = M.lead_flight(x, p, rest, np.random.default_rng(s).random(4).tolist())
+        assert abs(sum(a * b for a, b in zip(out, x)) + common * rest - p * (sum(x) + rest)) < 1e-6
+        assert all(v in (0.0, 1.0) for v in out) and 0 <= common <= 1
+        runs.append([*out, common])
+    assert np.abs(np.mean(runs, axis=0) - p).max() < 0.03
+    # nothing else to balance with: the record lands
+    assert M.lead_flight([5.0], 0.4, 0.0, [0.1])[0] == [1.0] and M.lead_flight([5.0], 0.4, 0.0, [0.5])[0] == [0.0]
+    # more than the smaller ones hold: they give all they have
+    assert M.lead_flight([900.0], 0.3, 100.0, [0.1]) == ([1.0], 0.0)
+
+
+def test_one_giant_record(spark, targets):
+    rows = [(i, "word " * 5, "a") for i in range(3000)] + [(9999, "word " * 4000, "a"), (5000, "x", None)] + [(4000 + i, "word " * 5, "c") for i in range(300)]
+    used, report = M.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), targets)
+    got = {r["source"]: r for r in report.collect()}
+    assert abs(got["a"]["mix_tokens"] - got["a"]["wanted_tokens"]) < 0.002 * got["a"]["wanted_tokens"] + 20

@@ -2,7 +2,8 @@ from collections import Counter
 
 import pytest
 
-from placeloom.llm.strata import quota_report, sample_to_targets
+from placeloom.llm import strata
+from placeloom.llm.strata import drawn_report, quota_report, sample_to_targets
 
 PLAN = "request_id bigint, isolanguage string, sample_source string, pool string, draw string"
 TARGETS = "isolanguage string, sample_source string, pool string, target_share double, min_rows int"
@@ -38,3 +39,10 @@ def test_empty(spark, targets):
     empty = spark.createDataFrame([], PLAN)
     assert sample_to_targets(empty, targets).count() == 0
     assert {r["isolanguage"]: r["deficit"] for r in quota_report(empty, targets).collect()} == {"en": 2, "ru": 2, "tr": 3}
+
+
+def test_drawn_report_counts_the_sample(plan, targets):
+    got = {r["isolanguage"]: (r["observed"], r["quota"], r["taken"], r["deficit"]) for r in drawn_report(plan, targets).collect()}
+    assert got == {"en": (1000, 210, 210, 0), "ru": (30, 90, 30, 60), "tr": (0, 3, 0, 3)}
+    with pytest.raises(ValueError):
+        sample_to_targets(plan, targets.sparkSession.range(strata.MAX_STRATA + 1).selectExpr("string(id) as isolanguage", "'a' as sample_source", "'b' as pool", "0.0D as target_share", "1 as min_rows"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from placeloom import schemas as S
 from placeloom.operators import bm25, names
 from placeloom.operators.features import country_names
+from placeloom.operators.ner import gazetteer_spans
 from placeloom.operators.pairs import with_documents
 from placeloom.operators.search import search_batch
+from placeloom.runtime import cut
 from placeloom.sources.dumps import NotBuiltError, build_id, get_text, put_text, read_table, table_path, write_table
 
 FORMAT = 2
@@ -86,3 +89,18 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 50, key:
     named = tables["name_groups"].select("name", F.explode("places.geonameid").alias("geonameid"))
     found = search_batch(queries, named, tables["places"], k, key, rerank, tables["index"])
     return with_documents(found, tables["descriptions"])
+
+
+def answer(spark: SparkSession, path: str, texts: DataFrame, tag: Callable[[DataFrame], DataFrame] | None = None, k: int = 50, key: str = "request_id", text: str = "query", rerank=None) -> DataFrame:
+    """Results of whole texts: their places are tagged, the spans' texts joined in order, and searched for.
+
+    ``tag`` gives (key, start, end, label) of a table of texts; without one the set's own names are the tagger. Texts
+    without a span have no results; equal span texts are searched once.
+    """
+    if tag is None:
+        known = load(spark, path)[1]["name_groups"].select(F.lower("name").alias("name"), F.lit("CITY").alias("label"))
+        tag = lambda df: gazetteer_spans(df, known, key, text)
+    spans = tag(texts).join(texts.select(key, F.col(text).alias("__t")), key)
+    parts = F.array_sort(F.collect_list(F.struct("start", F.substring("__t", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("s"))))
+    asked = cut(spans.groupBy(key).agg(parts.alias("p")).select(key, F.array_join(F.transform("p", lambda x: x["s"]), " ").alias("q")))
+    return asked.join(search(spark, path, asked.select("q").distinct(), k, "q", rerank), "q")

@@ -21,6 +21,7 @@ def local_session(app: str = "placeloom", cores: str | int = "*", shuffle: int =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PLACELOOM_DRIVER_MEMORY", "6g"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 

@@ -125,6 +125,8 @@ def test_artifacts(spark, tmp_path):
     assert manifest == made and tables["places"].count() == 1
     asked = spark.createDataFrame([("köy",), (" ",)], "q string")
     assert [(r["q"], r["geonameid"], r["document"]) for r in A.search(spark, path, asked, 3).collect()] == [("köy", 1, "Koy | Köy\nTurkey\nAdana")]
+    texts = spark.createDataFrame([(1, "trains to Köy today"), (2, "trains"), (3, "Köy"), (4, None)], "request_id bigint, query string")
+    assert sorted((r["request_id"], r["q"], r["geonameid"], r["rank"]) for r in A.answer(spark, path, texts, k=3).collect()) == [(1, "Köy", 1, 1), (3, "Köy", 1, 1)]
     with pytest.raises(A.StaleSetError):
         A.load(spark, path, countries=["RU"])
     (tmp_path / "set" / "manifest.json").write_text(json.dumps(made | {"build_id": "other"}))

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 # Blocks of Han characters that are a token each.
 HAN_BLOCKS = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3134F}"
 TOKEN_PATTERN = rf"(?U)([{HAN_BLOCKS}]|\w+(?:[-_]\w+)*|\S)"
+#: White space of any kind.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 GRAM = 3
 
 
@@ -35,7 +37,7 @@ def spans_of(entities: Column) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def casefold(c: Column | str) -> Column:
@@ -52,7 +54,7 @@ def quoted_list(texts: Column) -> Column:
 
 def char_ngrams(c: Column | str, n: int = GRAM) -> Column:
     """Character n-grams of each lower-case word, repeats kept; a word shorter than n is one gram."""
-    words = F.filter(F.split(F.lower(strip(c)), r"(?U)\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(strip(c)), r"[\s\x{85}\p{Z}]+"), lambda w: w != "")
     grams = F.transform(words, lambda w: F.when(F.length(w) < n, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i: F.substring(w, i, n))))
     return F.coalesce(F.flatten(grams), F.array().cast("array<string>"))
 

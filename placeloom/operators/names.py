@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom import schemas as S
+from placeloom.functions.text import strip
 
 SEPARATOR = " | "
 
@@ -55,7 +56,7 @@ def descriptions(rows: DataFrame, admin1: DataFrame, country_names: DataFrame) -
     grouped = rows.groupBy("geonameid", "country_code", "admin1_code").agg(F.array_join(F.array_sort(F.collect_set("name")), SEPARATOR).alias("names"))
     full = with_region(grouped, admin1).join(country_names.filter("language = 'en'").select("country_code", "country_name"), "country_code", "left")
     text = F.concat_ws("\n", "names", F.coalesce("country_name", "country_code", F.lit("")), "admin1_name")
-    return full.select("geonameid", F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("description"))
+    return full.select("geonameid", strip(text).alias("description"))
 
 
 def distinct_tuples(*columns: str) -> Column:

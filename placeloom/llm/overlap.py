@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeloom.runtime import collation_free_blank, cut
+from placeloom.runtime import collation_free_blank, cut, once
 
 #: Slips allowed from these lengths (code points without blanks) on: the usual values, a parameter of the functions.
 SLIPS = ((4, 1), (8, 2), (12, 3))
@@ -40,17 +40,16 @@ def _slips_sql(n: str, steps: Steps) -> str:
 
 
 def folded(c: Column) -> Column:
-    """Words in lower case and without punctuation, one blank between them; null if nothing is left."""
+    """Words in lower case and without punctuation, one blank between them."""
     v = F.translate(F.lower(c), "ı̇", "i")
     v = F.regexp_replace(v, r"[^\p{L}\p{N}\p{M}\s\p{Z}]+", "")
-    v = collation_free_blank(v)
-    return F.when(v != "", v)
+    return collation_free_blank(v)
 
 
 def place_key(ids: Column, name: Column) -> Column:
     parts = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(name, ","), lambda p: F.lower(collation_free_blank(p))), lambda p: p != "")))
     by_name = F.when(F.size(parts) > 0, F.concat(F.lit("n:"), F.array_join(parts, ",")))
-    return F.coalesce(F.when(F.size(ids) > 0, F.concat(F.lit("i:"), F.array_join(F.array_sort(F.array_distinct(ids)), ","))), by_name, F.lit(""))
+    return F.coalesce(F.when(F.size(ids) > 0, F.concat(F.lit("i:"), F.array_join(F.sort_array(F.array_distinct(ids)).cast("array<string>"), ","))), by_name, F.lit(""))
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -123,7 +122,7 @@ def _segments(steps: Steps, n: str) -> str:
 
 def _evaluation_keys(steps: Steps) -> str:
     own = f"transform(filter({_segments(steps, 'm')}, x -> x.k > 0), x -> xxhash64(place, x.n, x.i, substring(flat, x.p + 1, x.l)))"
-    return f"array_distinct(concat({own}, array(xxhash64(place, 'full', flat), xxhash64(place, 'more', flat), xxhash64(place, 'bag', array_sort(words))), {_shortened('less')}))"
+    return f"array_distinct(concat({own}, array(xxhash64(place, 'full', flat), xxhash64(place, 'more', flat), xxhash64(place, 'bag', sort_array(words))), {_shortened('less')}))"
 
 
 def _training_keys(steps: Steps) -> str:
@@ -133,13 +132,14 @@ def _training_keys(steps: Steps) -> str:
     own = f"""flatten(transform(flatten(transform({near}, n -> {_segments(steps, 'n')})), x -> transform(
       filter(sequence(1 - x.i, x.i - 1), s -> s BETWEEN m - x.n - (x.k + 1 - x.i) AND m - x.n + (x.k + 1 - x.i) AND x.p + s >= 0 AND x.p + s + x.l <= m),
       s -> xxhash64(place, x.n, x.i, substring(flat, x.p + s + 1, x.l)))))"""
-    return f"array_distinct(concat({own}, array(xxhash64(place, 'full', flat), xxhash64(place, 'less', flat), xxhash64(place, 'bag', array_sort(words))), {_shortened('more')}))"
+    return f"array_distinct(concat({own}, array(xxhash64(place, 'full', flat), xxhash64(place, 'less', flat), xxhash64(place, 'bag', sort_array(words))), {_shortened('more')}))"
 
 
 def _texts(df: DataFrame, key: str, query: str, name: str, ids: str, split: str) -> DataFrame:
     side = F.lower(F.trim(F.col(split)))
-    rows = df.select(F.col(key).alias("id"), folded(F.col(query)).alias("q"), place_key(F.col(ids), F.col(name)).alias("place"), F.when(side == "train", True).when(side.isNotNull() & (side != ""), False).alias("train"))
-    return rows.filter("q is not null and train is not null and id is not null").distinct()
+    rows = df.select(F.col(key).alias("id"), F.col(query).alias("raw"), place_key(F.col(ids), F.col(name)).alias("place"), F.when(side == "train", True).when(side.isNotNull() & (side != ""), False).alias("train"))
+    folds = once(rows.filter("raw is not null and train is not null and id is not null"), q=folded(F.col("raw")))
+    return folds.filter("q <> ''").select("id", "q", "place", "train").distinct()
 
 
 def matching_texts(texts: DataFrame, steps: Steps = SLIPS) -> DataFrame:
@@ -162,7 +162,7 @@ def matching_texts(texts: DataFrame, steps: Steps = SLIPS) -> DataFrame:
     sure = F.expr(f"ef = tf OR {_one_more('tw', 'tf', 'ef')} OR {_one_more('ew', 'ef', 'tf')}")
     k = F.expr(f"CAST({_slips_sql('length(ef)', steps)} AS INT)")
     # a swap is two plain edits at most, so the JVM's bounded distance discards most others before the exact one
-    judged = both.select("place", "eq", "tq", "ef", "tf", sure.alias("sure"), k.alias("k"), F.expr("size(ew) = size(tw) AND array_sort(ew) = array_sort(tw)").alias("same_words"))
+    judged = both.select("place", "eq", "tq", "ef", "tf", sure.alias("sure"), k.alias("k"), F.expr("size(ew) = size(tw) AND sort_array(ew) = sort_array(tw)").alias("same_words"))
     judged = judged.withColumn("close", F.expr("NOT sure AND k > 0 AND levenshtein(ef, tf, 2 * k) >= 0")).filter("sure or close or same_words")
     exact = judged.select("place", "eq", "tq", "sure", _slipped(F.when(F.col("close"), F.col("ef")), "tf", "k").alias("slipped"), _moved(F.when(F.col("same_words") & ~F.col("sure"), F.col("eq")), "tq").alias("moved"))
     return exact.filter("sure or slipped or moved").select("place", "eq", "tq")

@@ -20,18 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.operators.components import components
-from placeloom.runtime import collation_free_blank, cut, exact_rank
-
-
-def _key(c):
-    v = F.lower(collation_free_blank(c))
-    return F.when(v != "", v)
+from placeloom.runtime import collation_free_blank, cut, exact_rank, once
 
 
 def record_keys(df: DataFrame, key: str = "request_id", query: str = "query", name: str = "name") -> DataFrame:
     """Distinct (key, q, names): the compared query and the sorted compared names; rows of one record are merged later."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(name), F.lit("")), ","), lambda p: F.lower(collation_free_blank(p))), lambda p: p != "")
-    return df.select(F.col(key).alias("id"), _key(F.col(query)).alias("q"), F.array_sort(F.array_distinct(parts)).alias("names")).filter("id is not null").distinct()
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col("named"), F.lit("")), ","), lambda p: F.lower(collation_free_blank(p))), lambda p: p != "")
+    compared = once(df.select(F.col(key).alias("id"), F.col(query).alias("raw"), F.col(name).alias("named")).filter("id is not null"), v=F.lower(collation_free_blank("raw")), parts=parts)
+    return compared.select("id", F.when(F.col("v") != "", F.col("v")).alias("q"), F.sort_array(F.array_distinct("parts")).alias("names")).distinct()
 
 
 def related_groups(df: DataFrame, key: str = "request_id", query: str = "query", name: str = "name") -> DataFrame:

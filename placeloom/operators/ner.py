@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeloom.functions.text import align_span, named, spans_of, tokens, tokens_at
-from placeloom.runtime import cut
+from placeloom.runtime import cut, once
 
 LABELS = ["CITY", "REGION", "STATE", "COUNTRY"]
 
@@ -72,22 +72,25 @@ def split_by_name(examples: DataFrame, share: float = 0.1, seed: str = "42") ->
 def gazetteer_spans(texts: DataFrame, names: DataFrame, key: str = "request_id", text: str = "query") -> DataFrame:
     """(key, start, end, label) of the longest known names, from left to right: a stand-in for a trained model.
 
-    names: name (lower case), label; names of any number of tokens match. A token is first joined to the names' first
-    tokens and the numbers of tokens of the names that begin so; only word sequences of these lengths meet the names. The
-    length in tokens of the longest name is one number for the driver.
+    names: name (lower case), label; names of any number of tokens match, and are read once. A token is first joined to the
+    names' first tokens and numbers of tokens, each with a mask of the second tokens that it goes on with; only word
+    sequences that pass meet the names. Their texts are fetched by key, so no token carries more than its own text. Texts
+    without a key have no spans.
     """
-    known = names.select("name", "label").distinct()
-    sized = known.select("name", tokens("name").alias("tok")).filter("size(tok) > 0")
-    most = sized.agg(F.max(F.size("tok"))).first()[0] or 0
-    heads = sized.groupBy(F.get("tok", F.lit(0)).alias("head")).agg(F.collect_set(F.size("tok")).alias("sizes"))
-    toks = texts.select(key, F.col(text).alias("t"), F.inline(F.array(F.struct(tokens_at(text).alias("tok")))))
-    # of each token: where it starts, the text of as many tokens as the longest name has, and where these end in it
-    ends = F.transform(F.slice("tok", F.col("i") + 1, F.lit(max(most, 1))), lambda x: x["end"] - F.get("tok", F.col("i"))["start"])
-    at = toks.filter("size(tok) > 0").select(key, "t", "tok", F.explode(F.sequence(F.lit(0), F.size("tok") - 1)).alias("i"))
-    at = at.select(key, F.get("tok", F.col("i"))["start"].alias("start"), F.lower(F.get("tok", F.col("i"))["token"]).alias("head"), ends.alias("ends"), "t")
-    at = at.select(key, "start", "head", "ends", F.substring("t", F.col("start") + 1, F.element_at("ends", -1)).alias("tail"))
-    grams = at.join(heads, "head").select(key, "start", "tail", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.size("ends")), lambda n: F.get("ends", n - 1))).alias("width"))
-    found = grams.select(key, "start", (F.col("start") + F.col("width")).alias("end"), F.lower(F.substring("tail", F.lit(1), F.col("width"))).alias("name")).join(known, "name")
+    fold = lambda t: F.translate(F.lower(t), "ς", "σ")  # noqa: E731  a sigma's form depends on what follows the token
+    bit = lambda t: F.pmod(F.hash(fold(t)), F.lit(64))
+    known = once(names.select("name", "label").distinct(), tok=tokens("name")).filter("size(tok) > 0")
+    known = cut(known.select("name", "label", fold(F.get("tok", F.lit(0))).alias("head"), F.size("tok").alias("size"), bit(F.get("tok", F.lit(1))).alias("bit")))
+    heads = known.groupBy("head", "size").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    asked = texts.select(key, F.col(text).alias("t")).filter(F.col(key).isNotNull())
+    toks = once(asked, tok=tokens("t")).select(key, F.inline(F.transform("tok", lambda t, i: named(i=i, head=fold(t), next=F.when(i + 1 < F.size("tok"), bit(F.get("tok", i + 1)))))))
+    at = toks.join(heads, "head").filter((F.col("size") == 1) | (F.getbit("mask", "next") == 1))
+    begun = at.groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.struct("i", "size")).alias("begun"))
+    whole = once(asked.join(begun, F.col(key) == F.col("__key")), tok=tokens_at("t"))
+    inside = F.filter("begun", lambda b: b["i"] + b["size"] <= F.size("tok"))
+    grams = whole.select(key, "t", F.inline(F.transform(inside, lambda b: named(start=F.get("tok", b["i"])["start"], end=F.get("tok", b["i"] + b["size"] - 1)["end"]))))
+    grams = grams.select(key, "start", "end", F.lower(F.substring("t", F.col("start") + 1, F.col("end") - F.col("start"))).alias("name"))
+    found = grams.join(known.select("name", "label"), "name")
     order = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("e"), "label")))
     pick = F.aggregate(
         order, named(at=F.lit(0), out=F.array().cast("array<struct<start:int,end:int,label:string>>")),

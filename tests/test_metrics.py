@@ -188,6 +188,22 @@ def test_gazetteer_finds_names_of_any_length(spark):
     assert ner.gazetteer_spans(spark.createDataFrame(rows, ROW), known.limit(0)).count() == 0
 
 
+def test_gazetteer_reads_names_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    # the last sigma of a token is lower-cased by what follows the token; a text without a key has no spans, two texts of one key have theirs
+    rows = [(1, "x ΣΣ'Α new york", "el", None, None, None, ""), (2, "york new", "en", None, None, None, ""), (3, "new york", "en", None, None, None, ""), (3, "york", "en", None, None, None, ""), (None, "york", "en", None, None, None, "")]
+    known = spark.createDataFrame([("ΣΣ'Α",), ("new york",), ("york",), ("new delhi",)], "name string").select(F.lower("name").alias("name"), F.lit("CITY").alias("label"))
+    spans = ner.gazetteer_spans(spark.createDataFrame(rows, ROW), known.mapInArrow(counted, known.schema))
+    assert {tuple(r) for r in spans.collect()} == {(1, 2, 6, "CITY"), (1, 7, 15, "CITY"), (2, 0, 4, "CITY"), (3, 0, 8, "CITY")}
+    assert read.value == 4
+
+
 def test_validation(spark):
     city, country, region = ("Rome", "CITY", 0, 4), ("Italy", "COUNTRY", 5, 10), ("Lazio", "STATE", 11, 16)
     rows = [

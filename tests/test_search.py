@@ -133,3 +133,28 @@ def test_artifacts(spark, tmp_path):
     (tmp_path / "set" / ".manifest.json.crc").unlink(missing_ok=True)
     with pytest.raises(A.StaleSetError):
         A.load(spark, path)
+
+
+def test_scores_are_not_shuffled(spark):
+    # every query meets every name; only texts are shuffled, once for each cell
+    n = spark.range(900).select(F.format_string("abc %03d", "id").alias("doc"))
+    q = spark.range(400).select(F.format_string("abc q%d", "id").alias("q"))
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    index, mean = bm25.postings(n, "doc").cache(), bm25.average_length(n, "doc")
+    index.count()
+    before = shuffled()
+    got = bm25.scores(q, index, mean).groupBy().agg(F.count("score"), F.sum("score")).first()
+    assert got[0] == 360_000 and shuffled() - before < 50_000
+    # the same over plain names, and in small cells
+    assert bm25.scores(q, n, mean, shard=100, block=30).groupBy().agg(F.count("score"), F.sum("score")).first()[0] == 360_000
+    one = {tuple(r) for r in bm25.scores(q, index, mean).collect()}
+    assert one == {tuple(r) for r in bm25.scores(q, n, mean, shard=100, block=30).collect()}
+    # without some terms, a name is as long as before
+    assert {tuple(r) for r in bm25.scores(q, index.filter("term = 'abc'"), mean).collect()} == {(r.q, r.doc, r.score) for r in bm25.scores(q.select(F.lit("abc").alias("q")), index, mean).withColumnRenamed("q", "__q").crossJoin(q).collect()}
+    values = spark.createDataFrame([(0.1234565,), (1.0000005,), (2.9999995,), (123.4567885,), (0.0,), (4321.1234565,)], "s double")
+    assert values.filter(bm25.rounded("s") != F.round("s", 6)).count() == 0

@@ -158,3 +158,30 @@ def test_scores_are_not_shuffled(spark):
     assert {tuple(r) for r in bm25.scores(q, index.filter("term = 'abc'"), mean).collect()} == {(r.q, r.doc, r.score) for r in bm25.scores(q.select(F.lit("abc").alias("q")), index, mean).withColumnRenamed("q", "__q").crossJoin(q).collect()}
     values = spark.createDataFrame([(0.1234565,), (1.0000005,), (2.9999995,), (123.4567885,), (0.0,), (4321.1234565,)], "s double")
     assert values.filter(bm25.rounded("s") != F.round("s", 6)).count() == 0
+
+
+def test_scores_keep_texts_once(spark):
+    # 9 shards and 40 blocks: what is shuffled does not grow with the cells
+    n = spark.range(900).select(F.format_string("abc %03d", "id").alias("doc"))
+    q = spark.range(400).select(F.format_string("abc q%d", "id").alias("q"))
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    assert bm25.scores(q, n, 5.0, shard=100, block=10).groupBy().agg(F.count("score")).first()[0] == 360_000
+    assert shuffled() - before < 10_000
+
+
+def test_scores_in_batches(spark, monkeypatch):
+    # a query meets more names than a batch has pairs; blank, null and unknown texts meet none
+    monkeypatch.setattr(bm25, "PAIRS", 7)
+    n = spark.createDataFrame([(x,) for x in [*(f"abc{i:02d}" for i in range(20)), " ", None, "xyz", "xyz"]], "doc string")
+    q = spark.createDataFrame([(x,) for x in ["abc", "ab", "xyz abc", "", None, "qqq", "abc"]], "q string")
+    mean = bm25.average_length(n, "doc")
+    got = [tuple(r) for r in bm25.scores(q, n, mean).collect()]
+    pairs = {(a, f"abc{i:02d}") for a in ("abc", "xyz abc") for i in range(20)} | {("xyz abc", "xyz")}
+    assert len(got) == 41 and {x[:2] for x in got} == pairs and len({x[2] for x in got if x[1] != "xyz"}) == 1
+    assert bm25.scores(q.limit(0), n, mean).count() == bm25.scores(q, n.limit(0), 0.0).count() == 0
